@@ -36,7 +36,7 @@ class Band:
     lexicon that is sent to the executors."""
 
     idf: tuple[float, float] = (2.5, 8.0)
-    rates: tuple[float, ...] = (1 / 8,) * 8 + (1 / 32,) * 8 + (1 / 128,) * 8
+    rates: tuple[float, ...] = (1 / 32,) * 8 + (1 / 128,) * 8 + (1 / 512,) * 8
     seed: int = 7
     most_terms: int = 8_000_000
 

@@ -1,8 +1,8 @@
 """Toxicity: averaged subword embeddings under a linear softmax, trained together in numpy.
 
 A text is lower-cased and what is no letter or digit becomes a space; its subwords are the runs of 3 to 6 bytes of each word,
-with a space before and behind. Each subword hashes to a row of an embedding table; a text is the mean of its subwords' rows,
-and a linear layer with softmax over (clean, toxic) stands on it. An unseen misspelling shares most of its subwords' rows with
+with a space before and behind. Each subword hashes to a row of an embedding table; a text is the mean of the rows of its
+different subwords (so that repetition doesn't drown a word), and a linear layer with softmax over (clean, toxic) stands on it. An unseen misspelling shares most of its subwords' rows with
 the word it is made from. Since both layers are linear, the table of a trained model is folded into one number for each
 subword before it is sent out, and scoring is a sum over the text.
 """
@@ -25,23 +25,42 @@ _CLEAN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 @dataclass(frozen=True)
 class Setup:
     """per_class: labelled rows of each class that the model is fitted on at most, chosen by a hash of the id; max_bytes: of such a
-    text at most. least_docs: fitted texts that a subword must be in. scale: the mean is multiplied by it."""
+    text at most. least_docs: fitted texts that a subword must be in; most_share: of fitted texts that it may be in, else it stays zero. prior: so many zero
+    rows are added to a text's mean, which a short text then can't swing. scale: the mean is multiplied by it."""
 
     per_class: int = 2000
     max_bytes: int = 1 << 16
     buckets_log2: int = 18
     lengths: tuple[int, ...] = (3, 4, 5, 6)
-    dim: int = 4
+    dim: int = 2
     least_docs: int = 4
+    most_share: float = 0.25
+    prior: float = 50.0
     scale: float = 100.0
     steps: int = 80
-    rate: float = 0.05
+    rate: float = 0.02
     decay: float = 1e-4
     seed: int = 3
 
 
 def subwords(raws: list[bytes], setup: Setup) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each subword of some texts, and the text's number, ordered by text."""
+    """Buckets of the different subwords of some texts, and the text's number, ordered by both."""
+    bucket, owner = _occurrences(raws, setup)
+    size = 1 << setup.buckets_log2
+    found = []
+    seen = np.zeros(size, bool)
+    cuts = np.searchsorted(owner, np.arange(len(raws) + 1))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        seen[bucket[a:b]] = True
+        some = np.flatnonzero(seen)
+        seen[some] = False
+        found.append(some)
+    counts = [len(x) for x in found]
+    return (np.concatenate(found) if found else np.zeros(0, np.int64)), np.repeat(np.arange(len(raws), dtype=np.int32), counts)
+
+
+def _occurrences(raws: list[bytes], setup: Setup) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each subword, and the text's number, ordered by text."""
     parts = [b" " + b" ".join(x.decode("utf-8", "replace").lower().encode().translate(_CLEAN).split()) + b" " for x in raws]
     text = np.frombuffer(b"".join(parts), np.uint8)
     owner = np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in parts])
@@ -63,7 +82,9 @@ def subwords(raws: list[bytes], setup: Setup) -> tuple[np.ndarray, np.ndarray]:
         owners.append(owner[at])
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    return np.concatenate(found).astype(np.int64), np.concatenate(owners)
+    buckets, owners = np.concatenate(found).astype(np.int64), np.concatenate(owners)
+    order = np.argsort(owners, kind="stable")
+    return buckets[order], owners[order]
 
 
 @dataclass(frozen=True)
@@ -78,27 +99,26 @@ class Model:
         bucket, owner = subwords(raws, self.setup)
         n = np.bincount(owner, minlength=len(raws))
         total = np.bincount(owner, weights=self.logit[bucket], minlength=len(raws))
-        return 1 / (1 + np.exp(-np.clip(self.bias + total / np.maximum(n, 1), -60, 60)))
+        return 1 / (1 + np.exp(-np.clip(self.bias + total / (n + self.setup.prior), -60, 60)))
 
 
 def train(raws: list[bytes], labels: np.ndarray, setup: Setup = Setup()) -> Model:
-    """Fit both layers by full-batch Adam; each class weighs the same. Without rows of both classes all scores are the share of label 1."""
+    """Fit both layers by full batches with momentum, steps scaled by layer; each class weighs the same. Without rows of both classes all scores are the share of label 1."""
     size = 1 << setup.buckets_log2
     if not len(raws) or labels.min() == labels.max():
         share = float(labels.mean()) if len(labels) else 0.0
         return Model(np.zeros(size), float(np.clip(np.log((share + 1e-6) / (1 - share + 1e-6)), -14, 14)), setup)
-    rows, columns, data = [], [], []
+    rows, columns = [], []
     for at in range(0, len(raws), 200):
         bucket, owner = subwords(raws[at : at + 200], setup)
-        key, count = np.unique(owner.astype(np.int64) * size + bucket, return_counts=True)
-        rows.append((key // size + at).astype(np.int32))
-        columns.append((key % size).astype(np.int32))
-        data.append(count.astype(np.float32))
-    row, column, weight = np.concatenate(rows), np.concatenate(columns), np.concatenate(data)
-    total = np.maximum(np.bincount(row, weights=weight, minlength=len(raws)), 1)
-    often = np.bincount(column, minlength=size) >= setup.least_docs
-    use = often[column]
-    row, column, weight = row[use], column[use], (setup.scale * weight[use] / total[row[use]]).astype(np.float32)
+        rows.append(owner + np.int32(at))
+        columns.append(bucket.astype(np.int32))
+    row, column = np.concatenate(rows), np.concatenate(columns)
+    total = np.bincount(row, minlength=len(raws)) + setup.prior
+    texts = np.bincount(column, minlength=size)
+    use = ((texts >= setup.least_docs) & (texts <= setup.most_share * len(raws)))[column]
+    row, column = row[use], column[use]
+    weight = (setup.scale / total[row]).astype(np.float32)
     kept, column = np.unique(column, return_inverse=True)
     if not len(kept):
         return Model(np.zeros(size), 0.0, setup)
@@ -114,7 +134,7 @@ def train(raws: list[bytes], labels: np.ndarray, setup: Setup = Setup()) -> Mode
     weight_of = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())).astype(np.float32)
     want = np.stack((labels == 0, labels == 1), 1).astype(np.float32)
     values = [table, layer, bias]
-    first, second = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
+    first, second = [np.zeros_like(v) for v in values], [0.0] * len(values)
     for step in range(1, setup.steps + 1):
         mean = np.zeros((len(raws), setup.dim), np.float32)
         for j in range(setup.dim):
@@ -127,7 +147,7 @@ def train(raws: list[bytes], labels: np.ndarray, setup: Setup = Setup()) -> Mode
         dtable = np.stack([np.add.reduceat(weight_c * dmean[row_c, j], column_starts) for j in range(setup.dim)], 1) + setup.decay * table
         for k, (v, g) in enumerate(zip(values, (dtable, mean.T @ dz + setup.decay * layer, dz.sum(0)), strict=True)):
             first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.99 * second[k] + 0.01 * g * g
+            second[k] = 0.99 * second[k] + 0.01 * float((g * g).mean())  # one for a layer: rare subwords, whose gradients are small, stay small
             v -= setup.rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
     logit = np.zeros(size)
     logit[kept] = setup.scale * (table @ (layer[:, 1] - layer[:, 0]))
