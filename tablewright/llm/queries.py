@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.llm.counts import op5_length_histogram
+from tablewright.llm.dedup import op1_suffix_dedup
 from tablewright.llm.imatch import op9_imatch
 from tablewright.llm.mixing import op3_multinomial_mix
 from tablewright.llm.pieces import op8_shared_prefix_pieces
@@ -19,6 +20,7 @@ from tablewright.llm.toxicity import op4_subword_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_suffix_dedup,
         op2_range_coded_tokens,
         op3_multinomial_mix,
         op4_subword_toxicity,

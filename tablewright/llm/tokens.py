@@ -9,6 +9,7 @@ then moved to the name of their range, so that a repeated task leaves one file.
 from __future__ import annotations
 
 import json
+import os.path
 import struct
 import unicodedata
 import uuid
@@ -53,7 +54,7 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.special = [t["content"].encode() for t in told["added_tokens"]]
+        self.special = os.path.commonprefix([t["content"] for t in told["added_tokens"]]).encode()
         steps = told.get("normalizer") or {}
         kinds = [x["type"] for x in steps.get("normalizers", [])]
         pre = (told.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
@@ -73,7 +74,7 @@ class WordEncoder:
         texts: list[str] = []
         for word in words - self.known.keys():
             text = word.decode("utf-8")
-            if self.plain and self.simple(text) and not any(x in word for x in self.special):
+            if self.plain and self.simple(text) and self.special not in word:
                 plain.append(word)
                 texts.append(text)
             else:
