@@ -172,15 +172,17 @@ class Mix:
 
 def mix(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5,
-    cap: float = 2.0, block_words: int = 128, shard_slots: int = 4096, seed: int = 17, max_sources: int = 100_000, width: int = 1024, keep_text: bool = False,
+    cap: float = 2.0, block_words: int = 128, shard_slots: int = 4096, seed: int = 17, max_sources: int = 100_000, width: int = 1024, keep_text: bool = False, carry: Sequence[str] = (),
 ) -> Mix:
     """Draw a mix of all rows of df. A null text has no words; null is a source of its own, the last; rows with a null or
     repeated id are rows like others (in one source they follow each other by id, size and hash of the text). Only sources
     (max_sources at most, an error beyond) come to the driver."""
     text = F.col(text_col).cast("string")
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    base = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), text.alias("text"))
-    base = base.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("tie_"), *(["text"] if keep_text else [])).withColumn("block_", id_block(F.col("doc_id"), width))
+    base = df.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(text).alias("tie_"),
+        id_block(F.col(id_col).cast("long"), width).alias("block_"), *([text.alias("text")] if keep_text else []), *[F.col(c).alias(f"with_{c}") for c in carry],
+    )
     base = written(base)
     plan = plan_of(base.groupBy("source").agg(F.sum("size")), block_words, weights, share, cap, max_sources)
     names = base.sparkSession.createDataFrame([(p.number, p.source, p.size, p.target) for p in plan], "number int, name_ string, source_size long, target double")
@@ -209,13 +211,13 @@ def word_ranges(text: Column, ranges: Column) -> Column:
 
 
 def mixed_documents(df: DataFrame, **options: object) -> DataFrame:
-    """The mix as documents: rows (doc_id, source, text, turn). Turn t of a document has its words in blocks that the mix
+    """The mix as documents: rows (doc_id, source, text, turn) and the columns to `carry`. Turn t of a document has its words in blocks that the mix
     takes t times or more, so a document that is taken whole stays as it is, and one taken twice comes twice."""
     m = mix(df, keep_text=True, **options)  # type: ignore[arg-type]
     turns = m.taken().select("number", "start", "first", "words", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("turn"))
     parts = turns.groupBy("number", "start", "turn").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("parts"), F.sum("words").alias("n_"))
     out = m.rows.filter("size > 0").join(parts, ["number", "start"])
-    return out.select("doc_id", "source", F.when(F.col("n_") == F.col("size"), F.col("text")).otherwise(word_ranges(F.col("text"), F.col("parts"))).alias("text"), "turn")
+    return out.select("doc_id", "source", F.when(F.col("n_") == F.col("size"), F.col("text")).otherwise(word_ranges(F.col("text"), F.col("parts"))).alias("text"), "turn", *[F.col(f"with_{c}").alias(c) for c in options.get("carry", ())])  # type: ignore[attr-defined]
 
 
 def op3_multinomial_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

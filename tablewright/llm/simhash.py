@@ -54,16 +54,28 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """Rows (doc_id, fp long): the SimHash of each whole text. Null and wordless texts have 0."""
+def fingerprints(source: DataFrame, width: int = 4, sketch: int = 0) -> DataFrame:
+    """source (text last) with the column fp long, the SimHash of each whole text, for its text; and `sketch` binary, the least
+    `sketch` of its different shingle hashes (32 bits each), if asked for. Null and wordless texts have 0 and an empty sketch."""
+    *others, text = source.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            found = np.array([simhash(shingle_hashes(x, width)) for x in raw_texts(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        for batch in slices(batches, len(others)):
+            hashes = [shingle_hashes(x, width) for x in raw_texts(batch.column(len(others)))]
+            columns = [*batch.columns[:-1], pa.array(np.array([simhash(x) for x in hashes], np.uint64).view(np.int64))]
+            if sketch:
+                columns.append(pa.array([np.unique(x >> np.uint64(32))[:sketch].astype("<u4").tobytes() for x in hashes], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, [*others, "fp", "sketch"][: len(columns)])
 
-    source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, fp long")
+    kinds = ", ".join(f"{c} {t}" for c, t in source.dtypes if c != text)
+    return source.mapInArrow(run, f"{kinds}, fp long" + ", sketch binary" * bool(sketch))
+
+
+def alike(a: bytes, b: bytes, size: int) -> float:
+    """Similarity (Jaccard) of two sets of shingles from their least hashes."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    union = np.union1d(x, y)[:size]
+    return len(np.intersect1d(np.intersect1d(x, y, assume_unique=True), union, assume_unique=True)) / max(1, len(union))
 
 
 @dataclass(frozen=True)
@@ -124,13 +136,14 @@ def tree_links(values: np.ndarray, near: Callable[[np.uint64, np.ndarray], np.nd
     return out
 
 
-def links(distinct: DataFrame, ring: Ring = Ring()) -> DataFrame:
+def links(distinct: DataFrame, ring: Ring = Ring(), small: int = 16) -> DataFrame:
     """Rows (a, b) of different fingerprints at most ring.distance apart that connect all fingerprints which such links connect.
 
-    distinct: a column fp of different numbers.
+    distinct: a column fp of different numbers. Up to `small` fingerprints under a key give all their links.
     """
     masks = ring.key_masks()
     chains = [np.array(ring.masks(s), np.uint64) for s in range(ring.segments)]
+    chain_masks = np.array([chains[start] for start, _ in masks], np.uint64)
     budgets = [ring.budget(k + 1) for k in range(ring.chain)]
     kinds = F.array(*[F.struct(F.lit(k).cast("short").alias("kind"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, (_, m) in enumerate(masks)])
     keyed = distinct.select("fp", F.explode(kinds).alias("key")).select("key.kind", "key.bits", "fp")
@@ -149,6 +162,26 @@ def links(distinct: DataFrame, ring: Ring = Ring()) -> DataFrame:
 
         return [(int(values[a]), int(values[b])) for a, b in tree_links(values, near)]
 
+    def few(kind: np.ndarray, fp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """Links in many small buckets at once: each member with the next, with the one after, ..."""
+        out = []
+        sizes = ends - starts
+        at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        end = np.repeat(ends, sizes)
+        for far in range(1, small):
+            use = at + far < end
+            at, end = at[use], end[use]
+            if not len(at):
+                break
+            a, b = fp[at], fp[at + far]
+            x = (a ^ b).view(np.uint64)
+            ok = np.ones(len(x), bool)
+            for level, most in enumerate(budgets):
+                ok &= np.bitwise_count(x & chain_masks[kind[at], level]) <= most
+            ok[ok] = np.bitwise_count(x[ok]) <= ring.distance
+            out.append(np.stack((a[ok], b[ok]), 1))
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: tuple[np.ndarray, ...] | None = None  # a bucket may go on in the next batch
         for batch in itertools.chain(batches, [None]):
@@ -169,10 +202,11 @@ def links(distinct: DataFrame, ring: Ring = Ring()) -> DataFrame:
             if batch is not None:
                 rest = tuple(x[starts[-1] :] for x in rows)
                 starts, ends = starts[:-1], ends[:-1]
-            many = np.flatnonzero(ends - starts > 1)
-            found = [x for k in many for x in bucket(int(kind[starts[k]]), fp[starts[k] : ends[k]].view(np.uint64))]
-            if found:
-                pairs = np.array(found, np.uint64).view(np.int64).reshape(-1, 2)
+            sizes = ends - starts
+            found = [x for k in np.flatnonzero(sizes > small) for x in bucket(int(kind[starts[k]]), fp[starts[k] : ends[k]].view(np.uint64))]
+            some = (sizes > 1) & (sizes <= small)
+            pairs = np.concatenate((np.array(found, np.uint64).view(np.int64).reshape(-1, 2), *few(kind, fp, starts[some], ends[some])))
+            if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], ["a", "b"])
 
     n = partitions(distinct.sparkSession)
@@ -186,13 +220,44 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null, empty and wordless texts have fingerprint zero and link like others. A null id is never the smallest unless its
     component has no other id. Repeated rows stay. Other columns are not read. An empty table gives an empty result.
     """
-    prints = written(fingerprints(df, id_col, text_col, width))
+    prints = written(fingerprints(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), width))
     roots = components(links(prints.select("fp").distinct(), ring))
     rooted = prints.join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(least, "root").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+#: For five-word shingles: most pairs of a similarity of 0.8 or more differ in 7 bits or fewer, or are linked through others that do.
+WIDE = Ring(distance=7, segments=8, chain=3, parts=4)
+
+
+def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, ring: Ring = WIDE, similarity: float = 0.8, sketch: int = 128) -> DataFrame:
+    """The rows of df, all columns, that are the first of their group of near copies: the one of the smallest id (null last, rows
+    of one id by a hash of the text).
+
+    Fingerprints at most ring.distance bits apart are candidates; a link needs a similarity of their shingles, from sketches of
+    `sketch` hashes, of `similarity` or more. Equal fingerprints are one group. Equal rows count once. Wordless texts are one group.
+    """
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id_"), F.xxhash64(F.col(text_col).cast("string")).alias("tie_")]
+    prints = written(fingerprints(df.select(*key, F.col(text_col).cast("string").alias("text_")), width, sketch))
+    rep = written(prints.groupBy("fp").agg(F.min(F.struct("id_", "tie_", "sketch")).alias("m")).select("fp", "m.id_", "m.tie_", "m.sketch"))
+    near = links(rep.select("fp"), ring).distinct()
+    near = near.join(rep.select(F.col("fp").alias("a"), F.col("sketch").alias("x")), "a").join(rep.select(F.col("fp").alias("b"), F.col("sketch").alias("y")), "b").select("a", "b", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [alike(x, y, sketch) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    roots = components(near.mapInArrow(run, "a long, b long"))
+    rooted = rep.join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "id_", "tie_")
+    keep = rooted.groupBy("root").agg(F.min(F.struct("id_", "tie_")).alias("m")).select("m.id_", "m.tie_")
+    names = [f"c{k}_" for k in range(len(df.columns))]
+    keyed = df.toDF(*names)
+    keyed = keyed.withColumns({"id_": F.coalesce(F.col(names[df.columns.index(id_col)]).cast("long"), F.lit((1 << 63) - 1)), "tie_": F.xxhash64(F.col(names[df.columns.index(text_col)]).cast("string"))})
+    return keyed.join(keep, ["id_", "tie_"], "left_semi").dropDuplicates(["id_", "tie_"]).select(*names).toDF(*df.columns)
+
+
 def hex16(column: Column) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
