@@ -222,9 +222,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     prints = written(fingerprints(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), width))
     roots = components(links(prints.select("fp").distinct(), ring))
-    rooted = prints.join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "root").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    of_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_print = least.join(of_root, "root").select("fp", "component_id")
+    return prints.join(of_print, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 #: For five-word shingles: most pairs of a similarity of 0.8 or more differ in 7 bits or fewer, or are linked through others that do.
