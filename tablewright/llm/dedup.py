@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import documents, fmix, partitions, raw_texts, slices, written
+from tablewright.llm.common import documents, fmix, partitions, raw_texts, slices
 from tablewright.llm.suffixes import Sorter
 
 GRAM = 16
@@ -97,6 +97,11 @@ def _shard(anchors: np.ndarray, n: int) -> np.ndarray:
     return (fmix(anchors + np.uint64(0x5851F42D)) % np.uint64(n)).astype(np.int32)
 
 
+def _short(anchors: np.ndarray) -> np.ndarray:
+    """40 bits of an anchor: enough to tell which are shared, since one that seems so only takes its pieces along."""
+    return fmix(anchors + np.uint64(0x5851F42D)) >> np.uint64(24)
+
+
 def _cuts(sorted_keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(key, first, end) of the runs of equal keys."""
     edge = np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1], [True]))) if len(sorted_keys) else []
@@ -118,18 +123,14 @@ def _anchor_blocks(batches: Iterator[pa.RecordBatch], window: int, homes: int, s
         if not len(anchors):
             continue
         ids = _ids(batch.column(0))
-        # one entry for each anchor and document: sorted by shard and anchor
-        order = np.lexsort((owner, anchors))
-        anchors, owner = anchors[order], owner[order]
-        first = np.concatenate(([True], (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1])))
-        anchors, owner = anchors[first], owner[first].astype(np.int32)
         shard = _shard(anchors, shards)
-        order = np.argsort(shard, kind="stable")
-        anchors, owner = anchors[order], owner[order]
+        order = np.argsort(shard, kind="stable")  # and by text
+        short, owner = _short(anchors)[order], owner[order]
         rows = []
         for key, a, b in _cuts(shard[order]):
             some, local = np.unique(owner[a:b], return_inverse=True)
-            rows.append((key, _pack(anchors[a:b], local.astype(np.uint32), ids[some])))
+            part = short[a:b]
+            rows.append((key, _pack((part & np.uint64(0xFFFFFFFF)).astype(np.uint32), (part >> np.uint64(32)).astype(np.uint8), np.diff(local, prepend=0).astype(np.uint32), ids[some])))
         yield _batch(rows)
 
 
@@ -138,9 +139,9 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch], homes: int) -> Iterator[p
     anchors, ids = [], []
     for batch in batches:
         for data in batch.column(1).to_pylist():
-            a, local, some = _unpack(data, np.uint64, np.uint32, np.int64)
-            anchors.append(a)
-            ids.append(some[local])
+            low, high, step, some = _unpack(data, np.uint32, np.uint8, np.uint32, np.int64)
+            anchors.append(low | (high.astype(np.uint64) << np.uint64(32)))
+            ids.append(some[np.cumsum(step)])
     if not anchors:
         return
     a, d = np.concatenate(anchors), np.concatenate(ids)
@@ -224,8 +225,9 @@ def _shared_pieces(batches: Iterator[pa.RecordBatch], window: int, homes: int, s
         found, owner, first, windows, text = anchored(raws, window)
         if not len(found):
             continue
-        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-        use = np.flatnonzero(known[at] == found)
+        short = _short(found)
+        at = np.minimum(np.searchsorted(known, short), len(known) - 1)
+        use = np.flatnonzero(known[at] == short)
         ties = [_tie(x) for x in raws]
         for k, doc, begin, count in zip(use.tolist(), owner[use].tolist(), first[use].tolist(), windows[use].tolist(), strict=True):
             pieces.add(raws[doc][begin : begin + count + window - 1], docs[doc][0], ties[doc], begin, int(found[k]))
@@ -241,12 +243,16 @@ def _tie(raw: bytes) -> int:
 
 
 def _repeated(batches: Iterator[pa.RecordBatch], window: int, homes: int) -> Iterator[pa.RecordBatch]:
-    """Of a shard's pieces, what an earlier document has, by home."""
+    """Of a shard's pieces, what an earlier document has, by home (blocks below 0), beside what is known to be repeated."""
     lost: list[tuple[int, int, int, int]] = []
     groups: dict[int, list[bytes]] = {}
     for batch in batches:
-        for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            groups.setdefault(block, []).append(data)
+        told = [(block, data) for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        if passed := [x for x in told if x[0] < 0]:  # known already
+            yield _batch(passed)
+        for block, data in told:
+            if block >= 0:
+                groups.setdefault(block, []).append(data)
     for blobs in groups.values():
         held: dict[bytes, list[tuple[int, int, int]]] = {}
         anchor_of: dict[bytes, int] = {}
@@ -350,7 +356,7 @@ def _dealt(source: DataFrame, blobs: DataFrame, homes: int) -> DataFrame:
     at, others = source.columns.index("text_"), [c for c in source.columns if c != "text_"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in slices(batches, at):
             packed = pa.array([pack.compress(x) for x in raw_texts(batch.column(at))], pa.binary())
             rest = [batch.column(k) for k in range(batch.num_columns) if k != at]
@@ -408,9 +414,9 @@ def _runs(source: DataFrame, window: int) -> tuple[DataFrame, int]:
     pairs = source.select("id_", "text_")
     anchors = pairs.mapInArrow(partial(_anchor_blocks, window=window, homes=homes, shards=shards), _BLOCKS)
     shared = anchors.repartition(n, "block").mapInArrow(partial(_shared_anchors, homes=homes), _BLOCKS)
-    pieces = written(_dealt(pairs, shared, homes).mapInArrow(partial(_shared_pieces, window=window, homes=homes, shards=shards), _BLOCKS))
-    again = pieces.filter("block >= 0").repartition(n, "block").mapInArrow(partial(_repeated, window=window, homes=homes), _BLOCKS)
-    lost = pieces.filter("block < 0").union(again).select((-1 - F.col("block")).alias("block"), "data")
+    pieces = _dealt(pairs, shared, homes).mapInArrow(partial(_shared_pieces, window=window, homes=homes, shards=shards), _BLOCKS)
+    lost = pieces.repartition(n, "block").mapInArrow(partial(_repeated, window=window, homes=homes), _BLOCKS)
+    lost = lost.select((-1 - F.col("block")).alias("block"), "data")
     return _dealt(source, lost, homes), homes
 
 
