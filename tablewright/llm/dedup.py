@@ -88,13 +88,19 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(NO_ID).to_numpy()
 
 
-def _homes(ids: np.ndarray, n: int) -> np.ndarray:
+def block_labels(spark: SparkSession, n: int) -> np.ndarray:
+    """A number for each of n blocks that repartition(n) by it puts in a partition of its own."""
+    rows = spark.range(0, 24 * n + 200, 1, 1).select(F.col("id").cast("int").alias("v")).select(F.pmod(F.hash("v"), F.lit(n)).alias("p"), "v").groupBy("p").agg(F.min("v")).collect()  # n rows
+    return np.array([r[1] for r in sorted(rows)], np.int32)
+
+
+def _homes(ids: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Block of texts that a document is dealt to."""
-    return (fmix(ids.view(np.uint64)) % np.uint64(n)).astype(np.int32)
+    return labels[(fmix(ids.view(np.uint64)) % np.uint64(len(labels))).astype(np.int64)]
 
 
-def _shard(anchors: np.ndarray, n: int) -> np.ndarray:
-    return (fmix(anchors + np.uint64(0x5851F42D)) % np.uint64(n)).astype(np.int32)
+def _shard(anchors: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    return labels[(fmix(anchors + np.uint64(0x5851F42D)) % np.uint64(len(labels))).astype(np.int64)]
 
 
 def _short(anchors: np.ndarray) -> np.ndarray:
@@ -116,7 +122,7 @@ def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], ["block", "data"])
 
 
-def _anchor_blocks(batches: Iterator[pa.RecordBatch], window: int, homes: int, shards: int) -> Iterator[pa.RecordBatch]:
+def _anchor_blocks(batches: Iterator[pa.RecordBatch], window: int, homes: np.ndarray, shards: np.ndarray) -> Iterator[pa.RecordBatch]:
     """By block of anchors: each anchor with the ids of its first and last document here, and a home of one that has it."""
     for batch in slices(batches, 1):
         anchors, owner, _, _, _ = anchored(raw_texts(batch.column(1)), window)
@@ -134,7 +140,7 @@ def _anchor_blocks(batches: Iterator[pa.RecordBatch], window: int, homes: int, s
         yield _batch(rows)
 
 
-def _shared_anchors(batches: Iterator[pa.RecordBatch], homes: int) -> Iterator[pa.RecordBatch]:
+def _shared_anchors(batches: Iterator[pa.RecordBatch], homes: np.ndarray) -> Iterator[pa.RecordBatch]:
     """By home: the anchors that two documents have, one of them at home there."""
     anchors, ids = [], []
     for batch in batches:
@@ -182,7 +188,7 @@ class _Pieces:
         else:  # the same id again: its windows stay or go with those of the piece that is held
             self.same.setdefault(text, []).append((tie, first))
 
-    def flush(self, homes: int, shards: int) -> list[tuple[int, bytes]]:
+    def flush(self, homes: np.ndarray, shards: np.ndarray) -> list[tuple[int, bytes]]:
         """Held pieces by shard (blocks from 0), lost ones by home (blocks below 0: -1 - home)."""
         rows = []
         held = [(doc, tie, first, anchor, text) for text, (doc, tie, first, anchor) in self.held.items()]
@@ -201,7 +207,7 @@ class _Pieces:
         return rows
 
 
-def _lost_rows(lost: list[tuple[int, int, int, int]], homes: int) -> list[tuple[int, bytes]]:
+def _lost_rows(lost: list[tuple[int, int, int, int]], homes: np.ndarray) -> list[tuple[int, bytes]]:
     if not lost:
         return []
     numbers = np.array(lost, np.int64)
@@ -211,7 +217,7 @@ def _lost_rows(lost: list[tuple[int, int, int, int]], homes: int) -> list[tuple[
     return [(-1 - key, _pack(*(np.ascontiguousarray(numbers[a:b, k]) for k in range(4)))) for key, a, b in _cuts(home[order])]
 
 
-def _shared_pieces(batches: Iterator[pa.RecordBatch], window: int, homes: int, shards: int) -> Iterator[pa.RecordBatch]:
+def _shared_pieces(batches: Iterator[pa.RecordBatch], window: int, homes: np.ndarray, shards: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Of each home's texts, after its shared anchors: the pieces that have one."""
     anchors: dict[int, np.ndarray] = {}
     pieces = _Pieces()
@@ -242,7 +248,7 @@ def _tie(raw: bytes) -> int:
     return xxhash.xxh64_intdigest(raw) >> 1
 
 
-def _repeated(batches: Iterator[pa.RecordBatch], window: int, homes: int) -> Iterator[pa.RecordBatch]:
+def _repeated(batches: Iterator[pa.RecordBatch], window: int, homes: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Of a shard's pieces, what an earlier document has, by home (blocks below 0), beside what is known to be repeated."""
     lost: list[tuple[int, int, int, int]] = []
     groups: dict[int, list[bytes]] = {}
@@ -351,7 +357,7 @@ def _at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[byte
         yield home, [], docs  # type: ignore[misc]
 
 
-def _dealt(source: DataFrame, blobs: DataFrame, homes: int) -> DataFrame:
+def _dealt(source: DataFrame, blobs: DataFrame, homes: np.ndarray) -> DataFrame:
     """source's rows (id_, text_, others) and blobs (block, data) at their homes, the blobs first. Texts are moved compressed."""
     at, others = source.columns.index("text_"), [c for c in source.columns if c != "text_"]
 
@@ -404,20 +410,20 @@ def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(parts)
 
 
-def _runs(source: DataFrame, window: int) -> tuple[DataFrame, int]:
+def _runs(source: DataFrame, window: int) -> DataFrame:
     """source's rows at their homes after the blobs that say what goes from them; source: id_, text_, others."""
     if window < 2 * GRAM:
         raise ValueError(f"windows have {2 * GRAM} bytes at least")
     spark = source.sparkSession
     n = partitions(spark)
-    homes, shards = 4 * n, 4 * n
+    homes = shards = block_labels(spark, n)
     pairs = source.select("id_", "text_")
     anchors = pairs.mapInArrow(partial(_anchor_blocks, window=window, homes=homes, shards=shards), _BLOCKS)
     shared = anchors.repartition(n, "block").mapInArrow(partial(_shared_anchors, homes=homes), _BLOCKS)
     pieces = _dealt(pairs, shared, homes).mapInArrow(partial(_shared_pieces, window=window, homes=homes, shards=shards), _BLOCKS)
     lost = pieces.repartition(n, "block").mapInArrow(partial(_repeated, window=window, homes=homes), _BLOCKS)
     lost = lost.select((-1 - F.col("block")).alias("block"), "data")
-    return _dealt(source, lost, homes), homes
+    return _dealt(source, lost, homes)
 
 
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
@@ -427,7 +433,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     count, and all is judged on the input. A null text counts as an empty one. Rows of one id leave each other alone; a null id
     counts as larger than any other. Other columns are not read; an empty table gives an empty result.
     """
-    dealt, _ = _runs(df.select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).cast("string").alias("text_")), window)
+    dealt = _runs(df.select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).cast("string").alias("text_")), window)
 
     def out(docs: list[tuple], runs: list[list[tuple[int, int]]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -447,7 +453,7 @@ def drop_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A cut inside a character takes the rest of it along, so that texts stay UTF-8."""
     others = [c for c in df.columns if c not in (id_col, text_col)]
     source = df.select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).cast("string").alias("text_"), *[F.col(c).alias(f"o{k}_") for k, c in enumerate(others)])
-    dealt, _ = _runs(source, window)
+    dealt = _runs(source, window)
 
     def out(docs: list[tuple], runs: list[list[tuple[int, int]]]) -> pa.RecordBatch:
         rows = pa.Table.from_batches([x[2][0].slice(x[2][1], 1) for x in docs])
