@@ -167,7 +167,8 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """The pieces, and how many slots of the mix hold their block (`times`; only those that one holds)."""
-        return self.pieces().join(self.slots.groupBy("number", "block").agg(F.count("*").alias("times")), ["number", "block"])
+        # the slots' size isn't known when the plan is made: never let it be taken for a small table
+        return self.pieces().hint("merge").join(self.slots.groupBy("number", "block").agg(F.count("*").alias("times")), ["number", "block"])
 
 
 def mix(
@@ -200,7 +201,7 @@ def taken_words(df: DataFrame, **options: object) -> DataFrame:
     m = mix(df, **options)  # type: ignore[arg-type]
     sums = m.taken().groupBy("number", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken_"))
     columns = ["doc_id", "size", "source_size", "target"]
-    some = m.rows.filter("size > 0").join(sums, ["number", "start"], "left").select(*columns, F.coalesce("taken_", F.lit(0)).cast("long").alias("taken"))
+    some = m.rows.filter("size > 0").join(sums.hint("merge"), ["number", "start"], "left").select(*columns, F.coalesce("taken_", F.lit(0)).cast("long").alias("taken"))
     return some.union(m.rows.filter("size = 0").select(*columns, F.lit(0).cast("long").alias("taken")))
 
 
@@ -216,7 +217,7 @@ def mixed_documents(df: DataFrame, **options: object) -> DataFrame:
     m = mix(df, keep_text=True, **options)  # type: ignore[arg-type]
     turns = m.taken().select("number", "start", "first", "words", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("turn"))
     parts = turns.groupBy("number", "start", "turn").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("parts"), F.sum("words").alias("n_"))
-    out = m.rows.filter("size > 0").join(parts, ["number", "start"])
+    out = m.rows.filter("size > 0").join(parts.hint("merge"), ["number", "start"])
     return out.select("doc_id", "source", F.when(F.col("n_") == F.col("size"), F.col("text")).otherwise(word_ranges(F.col("text"), F.col("parts"))).alias("text"), "turn", *[F.col(f"with_{c}").alias(c) for c in options.get("carry", ())])  # type: ignore[attr-defined]
 
 
