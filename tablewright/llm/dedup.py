@@ -29,7 +29,7 @@ from tablewright.llm.suffixes import Sorter
 GRAM = 16
 NO_ID = (1 << 63) - 1  # a null id is larger than any other
 HELD_BYTES = 32 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20  # of pieces that are sorted together; numpy needs some 60 bytes for each
 
 
 def anchored(raws: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -259,11 +259,12 @@ def _repeated(batches: Iterator[pa.RecordBatch], window: int, homes: np.ndarray)
         for block, data in told:
             if block >= 0:
                 groups.setdefault(block, []).append(data)
-    for blobs in groups.values():
+    while groups:
+        _, blobs = groups.popitem()
         held: dict[bytes, list[tuple[int, int, int]]] = {}
         anchor_of: dict[bytes, int] = {}
-        for data in blobs:
-            docs, ties, firsts, anchors, sizes, joined = _unpack(data, np.int64, np.int64, np.int64, np.uint64, np.int64, np.uint8)
+        while blobs:
+            docs, ties, firsts, anchors, sizes, joined = _unpack(blobs.pop(), np.int64, np.int64, np.int64, np.uint64, np.int64, np.uint8)
             raw, at = joined.tobytes(), 0
             for doc, tie, first, anchor, size in zip(docs.tolist(), ties.tolist(), firsts.tolist(), anchors.tolist(), sizes.tolist(), strict=True):
                 text = raw[at : at + size]
