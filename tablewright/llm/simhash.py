@@ -8,6 +8,9 @@ the full distance.
 
 Equal fingerprints meet once. Where many fingerprints share a key, links are followed breadth first: each that is reached
 leaves the ones to be compared, and only the links of the search tree go on, never all pairs.
+
+The first document of each group of near copies is not found by fingerprints but by the shingles themselves (see
+first_of_each), because a similarity of 0.8 is too far for 64 bits.
 """
 
 from __future__ import annotations
@@ -54,28 +57,17 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(source: DataFrame, width: int = 4, sketch: int = 0) -> DataFrame:
-    """source (text last) with the column fp long, the SimHash of each whole text, for its text; and `sketch` binary, the least
-    `sketch` of its different shingle hashes (32 bits each), if asked for. Null and wordless texts have 0 and an empty sketch."""
+def fingerprints(source: DataFrame, width: int = 4) -> DataFrame:
+    """source (text last) with the column fp long, the SimHash of each whole text, for its text. Null and wordless texts have 0."""
     *others, text = source.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, len(others)):
             hashes = [shingle_hashes(x, width) for x in raw_texts(batch.column(len(others)))]
-            columns = [*batch.columns[:-1], pa.array(np.array([simhash(x) for x in hashes], np.uint64).view(np.int64))]
-            if sketch:
-                columns.append(pa.array([np.unique(x >> np.uint64(32))[:sketch].astype("<u4").tobytes() for x in hashes], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, [*others, "fp", "sketch"][: len(columns)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array([simhash(x) for x in hashes], np.uint64).view(np.int64))], [*others, "fp"])
 
     kinds = ", ".join(f"{c} {t}" for c, t in source.dtypes if c != text)
-    return source.mapInArrow(run, f"{kinds}, fp long" + ", sketch binary" * bool(sketch))
-
-
-def alike(a: bytes, b: bytes, size: int) -> float:
-    """Similarity (Jaccard) of two sets of shingles from their least hashes."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    union = np.union1d(x, y)[:size]
-    return len(np.intersect1d(np.intersect1d(x, y, assume_unique=True), union, assume_unique=True)) / max(1, len(union))
+    return source.mapInArrow(run, f"{kinds}, fp long")
 
 
 @dataclass(frozen=True)
@@ -228,30 +220,189 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(of_print, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-#: For five-word shingles: most pairs of a similarity of 0.8 or more differ in 7 bits or fewer, or are linked through others that do.
+#: A wider ring than op7's.
 WIDE = Ring(distance=7, segments=8, chain=3, parts=4)
 
 
-def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, ring: Ring = WIDE, similarity: float = 0.8, sketch: int = 128) -> DataFrame:
-    """The rows of df, all columns, that are the first of their group of near copies: the one of the smallest id (null last, rows
-    of one id by a hash of the text).
+@dataclass(frozen=True)
+class Overlap:
+    """Jaccard similarity of sets of shingle hashes of at least per_mille / 1000, in whole numbers."""
 
-    Fingerprints at most ring.distance bits apart are candidates; a link needs a similarity of their shingles, from sketches of
-    `sketch` hashes, of `similarity` or more. Equal fingerprints are one group. Equal rows count once. Wordless texts are one group.
-    """
-    key = [F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id_"), F.xxhash64(F.col(text_col).cast("string")).alias("tie_")]
-    prints = written(fingerprints(df.select(*key, F.col(text_col).cast("string").alias("text_")), width, sketch))
-    rep = written(prints.groupBy("fp").agg(F.min(F.struct("id_", "tie_", "sketch")).alias("m")).select("fp", "m.id_", "m.tie_", "m.sketch"))
-    near = links(rep.select("fp"), ring).distinct()
-    near = near.join(rep.select(F.col("fp").alias("a"), F.col("sketch").alias("x")), "a").join(rep.select(F.col("fp").alias("b"), F.col("sketch").alias("y")), "b").select("a", "b", "x", "y")
+    per_mille: int
+
+    def lead(self, n: int) -> int:
+        """So many of the first elements, in one order for all sets, of a set of n meet those of every set that is similar."""
+        return n - -(-self.per_mille * n // 1000) + 1 if n else 0
+
+    def possible(self, n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """Whether sets of n and m elements can be similar if the first that they share is at positions at and to."""
+        return np.minimum(n - at, m - to) * (1000 + self.per_mille) >= self.per_mille * (n + m)
+
+    def holds(self, a: bytes, b: bytes) -> bool:
+        """Of two sets of different hashes."""
+        both = len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
+        return 1000 * both >= self.per_mille * ((len(a) + len(b)) // 8 - both)
+
+
+def common_shingles(texts: DataFrame, width: int, sample: int = 8000, least: int = 4, most: int = 400_000) -> np.ndarray:
+    """Sorted hashes of shingles that many texts have, from some `sample` different texts. They only come last in the order
+    of shingles, so what is in this set has a say in the speed, not in the result."""
+    kept = texts.filter(F.pmod(F.xxhash64("tie_"), F.lit(max(1, texts.count() // sample))) == 0).dropDuplicates(["tie_"]).select("text_")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0):
+            for raw in raw_texts(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(raw, width)).view(np.int64))], ["key"])
+
+    rows = kept.mapInArrow(run, "key long").groupBy("key").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "key").limit(most).select("key").toArrow()
+    return np.sort(rows.column(0).to_numpy().view(np.uint64))
+
+
+def leading(texts: DataFrame, width: int, overlap: Overlap, common: np.ndarray) -> DataFrame:
+    """Rows (id_, tie_, fp, n, lead) of rows (id_, tie_, text_): a hash of the text's set of shingles, how many there are, and the
+    first of them that a similar set must meet; common ones come last in the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2):
+            sets = [np.unique(shingle_hashes(x, width)) for x in raw_texts(batch.column(2))]
+            lead = []
+            for x in sets:
+                last = common[np.minimum(np.searchsorted(common, x), len(common) - 1)] == x if len(common) else np.zeros(len(x), bool)
+                lead.append(np.concatenate((x[~last], x[last]))[: overlap.lead(len(x))].tobytes())
+            fp = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp), pa.array([len(x) for x in sets], pa.int32()), pa.array(lead, pa.binary())], ["id_", "tie_", "fp", "n", "lead"])
+
+    return texts.mapInArrow(run, "id_ long, tie_ long, fp long, n int, lead binary")
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], least: int = 2) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Columns, and where their runs of one key (the first column; rows are sorted by it) of `least` rows or more begin and end."""
+    held: list[list[np.ndarray]] = []  # of the last key, which may go on in the next batch
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
+            held.append(new)
+            if new[0][-1] == held[0][0][-1]:
+                continue
+        if not held:
+            return
+        rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+        cuts = np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1
+        starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(rows[0])]))
+        held = []
+        if batch is not None:
+            held = [[x[starts[-1] :] for x in rows]]
+            starts, ends = starts[:-1], ends[:-1]
+        some = ends - starts >= least
+        yield rows, starts[some], ends[some]
+
+
+def meetings(rep: DataFrame, overlap: Overlap, small: int = 16, centres: int = 4) -> DataFrame:
+    """Rows (key, a, b, n, pos) of rows (fp, n, lead). With b: a pair of sets that share a leading shingle and can be similar, a < b;
+    all pairs of shingles that up to `small` sets share, of others those with the first `centres` sets. Without b: a set
+    of such a larger bucket, whose other pairs are left to crossings()."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [alike(x, y, sketch) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for part in slices(iter([batch]), 2, 1 << 20):
+                lead = [np.frombuffer(x, np.int64) for x in part.column(2).to_pylist()]
+                counts = np.array([len(x) for x in lead])
+                columns = [np.concatenate(lead), *(np.repeat(part.column(k).to_numpy(), counts) for k in (0, 1)), np.concatenate([np.arange(c, dtype=np.int32) for c in counts])]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "fp", "n", "pos"])
+
+    def pairs(at: np.ndarray, to: np.ndarray, rows: list[np.ndarray]) -> pa.RecordBatch:
+        _, fp, n, pos = rows
+        ok = overlap.possible(n[at].astype(np.int64), pos[at], n[to].astype(np.int64), pos[to])
+        a, b = fp[at[ok]], fp[to[ok]]
+        none = np.zeros(len(a), np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(none.astype(np.int64)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(none), pa.array(none)], ["key", "a", "b", "n", "pos"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts, ends in _buckets(batches):
+            sizes = ends - starts
+            few = sizes <= small
+            size = sizes[few]
+            at = np.repeat(starts[few] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            end = np.repeat(ends[few], size)
+            for far in range(1, small):
+                use = at + far < end
+                at, end = at[use], end[use]
+                if not len(at):
+                    break
+                yield pairs(at, at + far, rows)
+            for a, b in zip(starts[~few].tolist(), ends[~few].tolist(), strict=True):
+                key, fp, n, pos = (x[a:b] for x in rows)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp), pa.nulls(b - a, pa.int64()), pa.array(n), pa.array(pos)], ["key", "a", "b", "n", "pos"])
+                for k in range(min(centres, b - a - 1)):
+                    to = np.arange(a + k + 1, b)
+                    yield pairs(np.full(len(to), a + k), to, rows)
+
+    keys = rep.select("fp", "n", "lead").filter("n > 0").mapInArrow(spread, "key long, fp long, n int, pos int")
+    return keys.repartition(partitions(rep.sparkSession), "key").sortWithinPartitions("key", "fp").mapInArrow(run, "key long, a long, b long, n int, pos int")
+
+
+def crossings(members: DataFrame, overlap: Overlap, centres: int = 4) -> DataFrame:
+    """Pairs (a, b), a < b, of rows (key, fp, n, pos, root) that share the key, can be similar and have different roots, without
+    those that meetings() gave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, fp, n, pos, root), starts, ends in _buckets(batches):
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                if (root[a:b] == root[a]).all():
+                    continue
+                for k in range(a + centres, b - 1):
+                    to = k + 1 + np.flatnonzero(root[k + 1 : b] != root[k])
+                    to = to[overlap.possible(np.int64(n[k]), pos[k], n[to].astype(np.int64), pos[to])]
+                    if len(to):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), fp[k])), pa.array(fp[to])], ["a", "b"])
+
+    n = partitions(members.sparkSession)
+    return members.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
+
+
+def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, small: int = 16) -> DataFrame:
+    """The rows of df, all columns, that are the first of their group of near copies: the one of the smallest id (null last, rows
+    of one id by a hash of the text).
 
-    roots = components(near.mapInArrow(run, "a long, b long"))
-    rooted = rep.join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "id_", "tie_")
+    Two texts are linked if the Jaccard similarity of their whole sets of shingles is `similarity` or more; groups are what links
+    connect. No link is missed: sets so similar share one of their leading shingles, in any order that is the same for all sets,
+    and each pair that does and isn't yet connected is compared, set by set. Equal sets are one group, and wordless texts.
+    """
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id_"), F.xxhash64(F.col(text_col).cast("string")).alias("tie_")]
+    texts = df.select(*key, F.col(text_col).cast("string").alias("text_"))
+    overlap = Overlap(round(1000 * similarity))
+    prints = written(leading(texts, width, overlap, common_shingles(texts, width)))
+    rep = written(prints.groupBy("fp").agg(F.min(F.struct("id_", "tie_", "n", "lead")).alias("m")).select("fp", "m.*"))
+    met = written(meetings(rep, overlap, small))
+    nodes = met.select(F.col("a").alias("fp")).union(met.select("b").filter("b IS NOT NULL")).distinct()
+    wanted = rep.select("fp", "id_", "tie_").join(nodes, "fp")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(x, width)).tobytes() for x in raw_texts(batch.column(1))], pa.binary())], ["fp", "whole"])
+
+    sets = written(texts.join(wanted, ["id_", "tie_"]).groupBy("fp").agg(F.first("text_").alias("text_")).mapInArrow(whole, "fp long, whole binary"))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ok = [overlap.holds(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+        both = pairs.distinct().join(sets.withColumnsRenamed({"fp": "a", "whole": "x"}), "a").join(sets.withColumnsRenamed({"fp": "b", "whole": "y"}), "b")
+        return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+
+    near = compared(met.filter("b IS NOT NULL").select("a", "b"))
+    roots = components(near)
+    many = met.filter("b IS NULL").select("key", F.col("a").alias("fp"), "n", "pos")
+    if not many.isEmpty():
+        crossed = many.join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").select("key", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
+        more = compared(crossings(crossed, overlap))
+        if not more.isEmpty():
+            roots = components(near.union(more))
+    rooted = rep.select("fp", "id_", "tie_").join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "id_", "tie_")
     keep = rooted.groupBy("root").agg(F.min(F.struct("id_", "tie_")).alias("m")).select("m.id_", "m.tie_")
     names = [f"c{k}_" for k in range(len(df.columns))]
     keyed = df.toDF(*names)

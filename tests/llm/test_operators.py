@@ -252,6 +252,44 @@ def test_first_of_each(spark, odd):
     assert simhash.first_of_each(odd).columns == odd.columns and simhash.first_of_each(odd.limit(0)).count() == 0
 
 
+def brute_first(texts, similarity=0.8):
+    """Positions that are the first of their group, and the similarities of all pairs that share a shingle."""
+    sets = [set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for t in texts]
+    root, found = list(range(len(texts))), []
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if both:
+            found.append(both / len(sets[i] | sets[j]))
+            if found[-1] >= similarity:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    return sorted(set(root)), found
+
+
+def edited_words(rng, words, n):
+    words = list(words)
+    for k in rng.choice(len(words), n, replace=False).tolist():
+        words[k] = f"e{rng.integers(1 << 40)}"
+    return words
+
+
+def first_ids(spark, texts, **options):
+    return sorted(r["doc_id"] for r in simhash.first_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **options).collect())
+
+
+def test_first_of_each_in_large_buckets(spark):
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(200)]
+    texts = [" ".join(edited_words(rng, base, n)) for n in [2] * 30]
+    for _ in range(30):  # too far from the base and from each other, but each has a twin
+        far = edited_words(rng, base, 12)
+        texts += [" ".join(far), " ".join(edited_words(rng, far, 1))]
+    texts = [texts[k] for k in rng.permutation(len(texts)).tolist()]
+    want, _ = brute_first(texts)
+    assert 20 < len(want) < 40
+    assert first_ids(spark, texts) == first_ids(spark, texts, small=4) == first_ids(spark, texts, small=1000) == want
+
+
 def test_op8(spark, docs, odd):
     model = pieces.PieceModel(pieces.MODEL_FILE)
     extra = ["", "  a  b\n\nc  ", "日本語 ½ İ ß 😀", "aaaaaaaaaa hhhhh 00000 ....", "\t\ttab\r\n"]
