@@ -290,6 +290,16 @@ def test_first_of_each_in_large_buckets(spark):
     assert first_ids(spark, texts) == first_ids(spark, texts, small=4) == first_ids(spark, texts, small=1000) == want
 
 
+def test_first_of_each_misses_none(spark):
+    rng = np.random.default_rng(9)
+    texts = []
+    for _ in range(150):
+        one = [f"w{x}" for x in rng.integers(0, 1 << 40, rng.integers(60, 300))]
+        texts += [" ".join(one), " ".join(edited_words(rng, one, max(1, len(one) // rng.integers(45, 100))))]
+    want, found = brute_first(texts)
+    assert len(found) == 150 and len(want) < 180 and first_ids(spark, texts) == want
+
+
 def test_op8(spark, docs, odd):
     model = pieces.PieceModel(pieces.MODEL_FILE)
     extra = ["", "  a  b\n\nc  ", "日本語 ½ İ ß 😀", "aaaaaaaaaa hhhhh 00000 ....", "\t\ttab\r\n"]
