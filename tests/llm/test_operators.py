@@ -300,6 +300,16 @@ def test_first_of_each_misses_none(spark):
     assert len(found) == 150 and len(want) < 180 and first_ids(spark, texts) == want
 
 
+def test_first_of_each_compares_whole_texts(spark):
+    rng = np.random.default_rng(10)
+    texts = []
+    for _ in range(60):  # 900 words: similarities close to the limit, on both sides
+        one = [f"w{x}" for x in rng.integers(0, 1 << 40, 900)]
+        texts += [" ".join(one), " ".join(edited_words(rng, one, int(rng.integers(19, 24))))]
+    want, found = brute_first(texts)
+    assert 70 < len(want) < 110 and sum(abs(x - 0.8) < 0.02 for x in found) > 20 and first_ids(spark, texts) == want
+
+
 def test_op8(spark, docs, odd):
     model = pieces.PieceModel(pieces.MODEL_FILE)
     extra = ["", "  a  b\n\nc  ", "日本語 ½ İ ß 😀", "aaaaaaaaaa hhhhh 00000 ....", "\t\ttab\r\n"]
