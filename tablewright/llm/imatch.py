@@ -2,7 +2,8 @@
 
 A first pass counts, over all documents, how many have each term; terms whose inverse document frequency lies in a band
 form the lexicon. The lexicon is thinned at random several times, at several rates. For each thinned lexicon a document's
-distinct terms that it holds are sorted and hashed; these hashes are the fingerprint. The share of hashes that two
+distinct terms that it holds are sorted and hashed; these hashes are the fingerprint. A text with so few terms that fewer than
+`least_held` of the thinned lexicons have one of them takes all rates doubled until enough do. The share of hashes that two
 fingerprints have in common, of those for which either has a term, is their likeness.
 
 The lexicon's size has a bound that doesn't grow with the number of documents: a term in it is in at least a share
@@ -32,11 +33,13 @@ _EMPTY = b"\0\0\0\0"
 
 @dataclass(frozen=True)
 class Band:
-    """idf: least and most of ln(documents / documents with the term). rates: of each thinned lexicon. most_terms: bound of the
+    """idf: least and most of ln(documents / documents with the term). rates: of each thinned lexicon.
+    least_held: thinned lexicons that must hold a term of a text, else its rates double. most_terms: bound of the
     lexicon that is sent to the executors."""
 
     idf: tuple[float, float] = (2.5, 8.0)
     rates: tuple[float, ...] = (1 / 32,) * 8 + (1 / 128,) * 8 + (1 / 512,) * 8
+    least_held: int = 4
     seed: int = 7
     most_terms: int = 8_000_000
 
@@ -123,7 +126,7 @@ def lexicon_of(texts: DataFrame, n: int, band: Band) -> np.ndarray:
 
 def prints(raws: list[bytes], lexicon: np.ndarray, band: Band) -> list[bytes]:
     """The fingerprint of each text: four bytes for each thinned lexicon, zero if the text has none of its terms. A text without
-    any term of the lexicon is fingerprinted by all its terms."""
+    any term of the lexicon is fingerprinted by all its terms. No fingerprint is all zeros."""
     hashes, starts, flat = distinct_terms(raws)
     if len(lexicon):
         at = np.minimum(np.searchsorted(lexicon, hashes), len(lexicon) - 1)
@@ -131,7 +134,8 @@ def prints(raws: list[bytes], lexicon: np.ndarray, band: Band) -> list[bytes]:
     else:
         known = np.zeros(len(hashes), bool)
     seeds = fmix(np.arange(1, len(band.rates) + 1, dtype=np.uint64) + np.uint64(band.seed << 32))
-    limits = np.array([int(r * 2**64) - 1 for r in band.rates], np.uint64)
+    doublings = range(max(0, math.ceil(-math.log2(max(band.rates)))) + 1)  # after the last, a lexicon holds all terms
+    limits = [np.array([min(2**64, int(r * 2 ** (64 + k))) - 1 for r in band.rates], np.uint64) for k in doublings]
     digest = xxhash.xxh32_digest
     out = []
     for a, b in itertools.pairwise(starts.tolist()):
@@ -141,16 +145,18 @@ def prints(raws: list[bytes], lexicon: np.ndarray, band: Band) -> list[bytes]:
             every = np.sort(hashes[mine])
             out.append(b"".join(xxhash.xxh32_digest(every.tobytes(), k + 1) for k in range(len(seeds))))
             continue
-        held = fmix(h[None, :] ^ seeds[:, None]) <= limits[:, None]
-        some = held.any(1)
+        mixed = fmix(h[None, :] ^ seeds[:, None])
+        for most in limits:
+            held = mixed <= most[:, None]
+            some = held.any(1)
+            if some.sum() >= band.least_held:
+                break
         out.append(b"".join(digest(h[row].tobytes(), 0) if ok else _EMPTY for row, ok in zip(held, some.tolist(), strict=True)))
     return out
 
 
 def likeness(a: bytes, b: bytes) -> float:
-    """Equal hashes as a share of those that either has; 1 for equal fingerprints."""
-    if a == b:
-        return 1.0
+    """Equal hashes as a share of those that either has; 0 if neither has any."""
     x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
     either = (x != 0) | (y != 0)
     return float(((x == y) & either).sum() / max(1, either.sum()))

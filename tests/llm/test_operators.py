@@ -347,6 +347,21 @@ def test_op9(spark, docs, odd):
     assert imatch.edit_test(odd.limit(0)).count() == 0
 
 
+def test_op9_short_texts():
+    rng = np.random.default_rng(4)
+    band = imatch.Band()
+    terms = [f"t{k}" for k in range(4000)]
+    lexicon = np.sort(np.array([xxhash.xxh64_intdigest(t.encode()) for t in terms], np.uint64))
+    texts = [" ".join(rng.choice(terms, n, replace=False)).encode() for n in [*range(1, 20)] * 20]
+    found = imatch.prints(texts, lexicon, band)
+    assert all(any(x) for x in found)
+    for (s, a), (t, b) in itertools.combinations(zip(texts, found, strict=True), 2):
+        if not set(s.split()) & set(t.split()):
+            assert imatch.likeness(a, b) == 0
+    assert imatch.likeness(bytes(96), bytes(96)) == 0 and imatch.likeness(found[0], found[0]) == 1
+    assert len(set(imatch.prints([b"", b" \n"], lexicon, band))) == 1 and any(imatch.prints([b""], lexicon, band)[0])
+
+
 def test_op10(spark, docs, odd):
     def brute(t):
         words = [w for w in "".join(c if ord(c) > 127 or not c.isspace() and not "\x09" <= c <= "\x0d" else " " for c in t).split(" ") if w]
