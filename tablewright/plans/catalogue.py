@@ -431,7 +431,7 @@ def no_action(spark, d):
 
 @query("SELECT * FROM (VALUES ('padding', ' a'), ('capitals', 'B'), ('special characters', 'c-d'), ('spaces', 'e f'), ('placeholder', 'Unnamed: 0'), ('capitals', 'Unnamed: 0'), ('spaces', 'Unnamed: 0'), ('special characters', 'Unnamed: 0')) AS t(issue, name)")
 def name_scan(spark, d):
-    df = table(spark, d, "lineitem").limit(20).toDF(" a", "B", "c-d", "e f", "Unnamed: 0", "g", "h", "i", "j", "k", "l")
+    df = table(spark, d, "lineitem").toDF(" a", "B", "c-d", "e f", "Unnamed: 0", "g", "h", "i", "j", "k", "l")
     return by_column(spark, [(i, c) for x in found(df, "colnames") for c, issues in x.evidence["issues"].items() for i in issues], "issue string, name string")
 
 
@@ -494,7 +494,7 @@ def plan_table(spark, d):
 
 @query()
 def audit_trail(spark, d):
-    c = Cleaner(spark, orders(spark, d).limit(2000))
+    c = Cleaner(spark, orders(spark, d))
     c.run()
     return c.audit()
 

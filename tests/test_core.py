@@ -160,3 +160,14 @@ def test_stream(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [("a", None), ("b", "x")]
     with pytest.raises(DataError):
         replay_stream(stream, [("fill_missing", {"columns": ["t"]})])
+
+
+def test_audit_and_name_scan_take_all_rows(spark, monkeypatch):
+    from tablewright.plans import catalogue
+
+    d, seen = SF.replace("0.001", "0.01"), []
+    rows = catalogue.QUERIES["audit_trail"](spark, d).collect()
+    assert rows[0]["rows_before"] == spark.read.parquet(f"{d}/orders.parquet").count() > 2000
+    monkeypatch.setattr(catalogue, "found", lambda df, kind: seen.append(df.count()) or [])
+    catalogue.QUERIES["name_scan"](spark, d)
+    assert seen == [spark.read.parquet(f"{d}/lineitem.parquet").count()]
