@@ -25,7 +25,7 @@ _CLEAN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 @dataclass(frozen=True)
 class Setup:
     """per_class: labelled rows of each class that the model is fitted on at most, chosen by a hash of the id; max_bytes: of such a
-    text at most. least_docs: fitted texts that a subword must be in; most_share: of fitted texts that it may be in, else it stays zero. prior: so many zero
+    text at most. least_docs: fitted texts that a subword must be in; most_share: of fitted clean texts that it may be in, else it stays zero. prior: so many zero
     rows are added to a text's mean, which a short text then can't swing. scale: the mean is multiplied by it."""
 
     per_class: int = 2000
@@ -116,7 +116,8 @@ def train(raws: list[bytes], labels: np.ndarray, setup: Setup = Setup()) -> Mode
     row, column = np.concatenate(rows), np.concatenate(columns)
     total = np.bincount(row, minlength=len(raws)) + setup.prior
     texts = np.bincount(column, minlength=size)
-    use = ((texts >= setup.least_docs) & (texts <= setup.most_share * len(raws)))[column]
+    clean = np.bincount(column[labels[row] == 0], minlength=size)
+    use = ((texts >= setup.least_docs) & (clean <= setup.most_share * (labels == 0).sum()))[column]
     row, column = row[use], column[use]
     weight = (setup.scale / total[row]).astype(np.float32)
     kept, column = np.unique(column, return_inverse=True)

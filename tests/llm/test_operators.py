@@ -148,6 +148,15 @@ def test_op4(spark, odd):
     assert none.scores([b"x"])[0] < 0.01
 
 
+def test_op4_keeps_terms_of_all_toxic_texts():
+    rng = np.random.default_rng(6)
+    raws = [" ".join(f"w{x}" for x in rng.integers(0, 300, 30)) for _ in range(80)]
+    raws = [f"{x} vileword" if k % 2 else x for k, x in enumerate(raws)]
+    model = toxicity.train([x.encode() for x in raws], np.arange(80) % 2)
+    a, b = model.scores([b"w1 w2 w3 vileword", b"w1 w2 w3"])
+    assert a > b and model.logit[toxicity.subwords([b"vileword"], toxicity.Setup())[0]].max() > 0
+
+
 def test_op4_held_out(spark):
     big = SF.replace("0.001", "0.1")
     found = QUERIES["op4_subword_toxicity"](spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").filter("held_out").toPandas()
