@@ -24,8 +24,9 @@ _NOT_COUNTED = SPACES + bytes(range(0x80, 0xC0))  # white space, and bytes that
 
 @dataclass(frozen=True)
 class Bands:
-    """Limits of the ratio by length in bytes: (from this length, least, most). A chunk is one of `chunk_bytes` bytes;
-    a text of more than one chunk also fails if more than `chunk_share` of its chunks leave the chunk's band."""
+    """Limits of the ratio by length in bytes: (from this length, least, most). A text of `chunk_bytes` or more is also cut into
+    chunks of so many bytes, the last one being what is left, and fails if more than `chunk_share` of them leave their band:
+    chunk_band for a full chunk, the limits by length for the last."""
 
     level: int = 3
     whole: tuple[tuple[int, float, float], ...] = (
@@ -33,7 +34,7 @@ class Bands:
         (2048, 0.22, 0.74), (4096, 0.19, 0.72), (16384, 0.17, 0.70),
     )
     chunk_bytes: int = 4096
-    chunk_share: float = 0.5
+    chunk_share: float = 0.1
     min_words: int = 50
     max_repeat_percent: int = 50
     chunk_band: tuple[float, float] = field(default=(0.17, 0.74))
@@ -79,19 +80,25 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
+def _limits(n: int, bands: Bands) -> tuple[float, float]:
+    return next((least, most) for start, least, most in reversed(bands.whole) if n >= start)
+
+
 def in_bands(raw: bytes, bands: Bands, zstd: zstandard.ZstdCompressor) -> bool:
     """Whether the ratios of the text and of its chunks stay within their limits."""
     n = len(raw)
     if not n:
         return True
-    _, least, most = next(x for x in reversed(bands.whole) if n >= x[0])
+    least, most = _limits(n, bands)
     if not least <= len(zstd.compress(raw)) / n <= most:
         return False
-    if n < 2 * bands.chunk_bytes:
+    if n < bands.chunk_bytes:
         return True
-    chunks = [raw[k : k + bands.chunk_bytes] for k in range(0, n - bands.chunk_bytes + 1, bands.chunk_bytes)]
-    low, high = bands.chunk_band
-    out = sum(not low <= len(zstd.compress(x)) / len(x) <= high for x in chunks)
+    chunks = [raw[k : k + bands.chunk_bytes] for k in range(0, n, bands.chunk_bytes)]
+    out = 0
+    for x in chunks:
+        low, high = bands.chunk_band if len(x) == bands.chunk_bytes else _limits(len(x), bands)
+        out += not low <= len(zstd.compress(x)) / len(x) <= high
     return out <= bands.chunk_share * len(chunks)
 
 

@@ -394,6 +394,21 @@ def test_op10(spark, docs, odd):
     assert noise and quality.keep_good(odd).columns == odd.columns and quality.quality_rules(odd.limit(0)).count() == 0
 
 
+def test_op10_judges_every_chunk(docs):
+    import base64
+    import zstandard
+
+    zstd, bands = zstandard.ZstdCompressor(level=3), quality.Bands()
+    good = [x for x in (r["text"].encode() for r in docs.collect()) if len(x) >= 5200 and quality.measures([x], bands)[0][-1]]
+    assert good
+    text = b" ".join(good)[:40960]
+    noise = base64.b64encode(np.random.default_rng(1).bytes(40000))
+    for junk in (noise, b"buy it now and again " * 2000):
+        for at in (0, 16384):
+            assert quality.in_bands(text, bands, zstd) and not quality.in_bands(text[:at] + junk[:12288] + text[at + 12288 :], bands, zstd)
+    assert not quality.in_bands(good[0][:4096] + b"buy it now " * 200, bands, zstd)  # in the last chunk of two
+
+
 def test_pipeline(spark, odd):
     import corpus_pipeline
 
