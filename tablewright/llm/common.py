@@ -29,20 +29,26 @@ def shared_folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _own_folder is None:
         _own_folder = f"file://{tempfile.mkdtemp(prefix='shared-')}"
     return _own_folder
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, read again: cuts lineage and survives lost executors. Removed when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A name for a folder in the shared one, to be removed when the driver ends."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_remove_written)
     _written.append((spark, path))
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, read again: cuts lineage and survives lost executors. Removed when the driver ends."""
+    spark = df.sparkSession
+    path = new_folder(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -83,11 +83,25 @@ def test_range_coder():
     rng = np.random.default_rng(1)
     blocks = [rng.integers(0, 49408, 300), np.zeros(0, int), np.full(400, 49407), np.arange(400) % 5, rng.integers(0, 3, 399)]
     coded = rangecoder.encode_blocks(blocks, 400, 49408)
-    back = rangecoder.decode_blocks(coded, [len(b) for b in blocks], 400, 49408)
+    back = rangecoder.decode_blocks(coded, [len(b) for b in blocks], 49408)
     assert all((a == b).all() for a, b in zip(blocks, back, strict=True))
     assert len(coded[3]) < 200 < len(coded[0])
     with pytest.raises(ValueError):
         rangecoder.encode_blocks([np.array([9])], 4, 8)
+    alone = [rangecoder.encode_blocks([b], 400, 49408)[0] for b in blocks if len(b) == 400]
+    assert alone == [c for b, c in zip(blocks, coded, strict=True) if len(b) == 400]  # each block starts anew
+
+
+def test_range_coder_mixes_orders():
+    """What any one order alone predicts badly costs little: runs, a repeated passage, and few ids in random order."""
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 40000, 64)
+    bits = lambda ids: 8 * len(rangecoder.encode_blocks([ids], 4096, 49408)[0]) / len(ids)
+    assert bits(np.tile(passage, 40)) < 1 and bits(np.full(2000, 31000)) < 0.3 and bits(rng.integers(0, 4, 2000)) < 3
+    for vocabulary in (1, 2, 300, 200_000):
+        blocks = [rng.integers(0, vocabulary, 500) for _ in range(3)] + [np.where(rng.random(500) < 0.01, vocabulary - 1, 0)]
+        back = rangecoder.decode_blocks(rangecoder.encode_blocks(blocks, 500, vocabulary), [500] * 4, vocabulary)
+        assert all((a == b).all() for a, b in zip(blocks, back, strict=True))
 
 
 @pytest.mark.parametrize("which", ["docs", "odd"])
@@ -98,6 +112,9 @@ def test_op2(spark, which, request, tmp_path):
     folder = f"file://{tmp_path}/files"
     files = tokens.write_token_files(df, folder)
     got = rows_of(tokens.documents_of(files, folder))
+    few = f"file://{tmp_path}/few"
+    small = tokens.write_token_files(df, few, file_ids=3000)
+    assert small.count() > files.count() and sorted(rows_of(tokens.documents_of(small, few)), key=str) == sorted(got, key=str)
     whole = Tokenizer.from_file(tokens.VOCABULARY_FILE)
     want = sorted((r["doc_id"] if r["doc_id"] is not None else -1, np.array([*whole.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4")) for r in df.select("doc_id", "text").collect()) if which == "docs" else None
     if want is not None:
