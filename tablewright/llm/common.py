@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -71,8 +72,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def let_go() -> None:
+    """Give memory that earlier work in this process has freed back to the machine: workers serve task after task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows whose texts have at most `most` bytes (one row at least)."""
+    let_go()
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -127,11 +138,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round every node moves to its least neighbour (least by a mix of the round, so that long paths halve),
     and equal moved edges merge. Tables are written between rounds; sums and minima are taken before any shuffle,
-    so a node with many neighbours loads no task.
+    so a node with many neighbours loads no task. Each round at least a part of the nodes goes, so that `rounds` are beyond what any
+    graph takes; an error if they are used up.
     """
     spark = edges.sparkSession
     live = written(edges.select("a", "b").filter("a <> b").distinct())
-    moves: list[DataFrame] = []
+    roots = None
     for k in range(rounds):
         if live.isEmpty():
             break
@@ -139,20 +151,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         mix = lambda c, k=k: F.xxhash64(c, F.lit(k))
         least = both.groupBy("a").agg(F.min(F.struct(mix(F.col("b")).alias("h"), F.col("b").alias("to"))).alias("m"))
         own = F.struct(mix(F.col("a")).alias("h"), F.col("a").alias("to"))
-        move = written(least.select(F.col("a").alias("node"), F.least(own, F.col("m"))["to"].alias("to")))
+        step = written(least.select(F.col("a").alias("node"), F.least(own, F.col("m"))["to"].alias("to")))
         # two steps at once: a node whose target itself moves goes on with it
-        hop = move.select(F.col("node").alias("to"), F.col("to").alias("on"))
-        move = written(move.join(hop, "to").select("node", F.col("on").alias("to")))
-        moves.append(move)
+        move = written(step.join(step.select(F.col("node").alias("to"), F.col("to").alias("on")), "to").select("node", F.col("on").alias("to")))
+        if roots is None:
+            roots = move.select("node", F.col("to").alias("root"))
+        else:
+            later = move.select(F.col("node").alias("root"), F.col("to").alias("next_"))
+            roots = written(roots.join(later, "root", "left").select("node", F.coalesce("next_", "root").alias("root")))
         to_a = move.select(F.col("node").alias("a"), F.col("to").alias("ta"))
         to_b = move.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         live = written(live.join(to_a, "a").join(to_b, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")).filter("a <> b").distinct())
     else:
-        raise RuntimeError("components did not settle")
-    if not moves:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    if roots is None:
         return spark.createDataFrame([], edges.select(F.col("a").alias("node"), F.col("a").alias("root")).schema)
-    roots = moves[0].select("node", F.col("to").alias("root"))
-    for move in moves[1:]:
-        later = move.select(F.col("node").alias("root"), F.col("to").alias("next_"))
-        roots = roots.join(later, "root", "left").select("node", F.coalesce("next_", "root").alias("root"))
     return roots

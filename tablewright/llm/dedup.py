@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import documents, fmix, partitions, raw_texts, slices
+from tablewright.llm.common import documents, fmix, let_go, partitions, raw_texts, slices
 from tablewright.llm.suffixes import Sorter
 
 GRAM = 16
@@ -326,6 +326,7 @@ def _earlier_windows(pieces: list[bytes], owner: np.ndarray, window: int, sorter
 
 def _at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], list[tuple]]]:
     """Runs of rows of one home: (home, blobs, []) before (home, [], documents as (id, text, row)), in slices."""
+    let_go()
     unpack = zstandard.ZstdDecompressor()
     docs: list[tuple] = []
     blobs: list[bytes] = []

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import components, documents, partitions, raw_texts, slices, written
+from tablewright.llm.common import components, documents, fmix, let_go, partitions, raw_texts, slices, written
 
 BITS = 64
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -238,10 +238,13 @@ class Overlap:
         """Whether sets of n and m elements can be similar if the first that they share is at positions at and to."""
         return np.minimum(n - at, m - to) * (1000 + self.per_mille) >= self.per_mille * (n + m)
 
-    def holds(self, a: bytes, b: bytes) -> bool:
-        """Of two sets of different hashes."""
-        both = len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
-        return 1000 * both >= self.per_mille * ((len(a) + len(b)) // 8 - both)
+    def holds(self, one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+        """Whether a sorted set of different hashes and each of some others are similar."""
+        sizes = np.array([len(x) for x in others])
+        every = np.concatenate(others)
+        at = np.minimum(np.searchsorted(one, every), len(one) - 1)
+        both = np.add.reduceat((one[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+        return 1000 * both >= self.per_mille * (len(one) + sizes - both)
 
 
 def common_shingles(texts: DataFrame, width: int, sample: int = 8000, least: int = 4, most: int = 400_000) -> np.ndarray:
@@ -277,6 +280,7 @@ def leading(texts: DataFrame, width: int, overlap: Overlap, common: np.ndarray)
 
 def _buckets(batches: Iterator[pa.RecordBatch], least: int = 2) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
     """Columns, and where their runs of one key (the first column; rows are sorted by it) of `least` rows or more begin and end."""
+    let_go()
     held: list[list[np.ndarray]] = []  # of the last key, which may go on in the next batch
     for batch in itertools.chain(batches, [None]):
         if batch is not None:
@@ -299,10 +303,62 @@ def _buckets(batches: Iterator[pa.RecordBatch], least: int = 2) -> Iterator[tupl
         yield rows, starts[some], ends[some]
 
 
-def meetings(rep: DataFrame, overlap: Overlap, small: int = 16, centres: int = 4) -> DataFrame:
-    """Rows (key, a, b, n, pos) of rows (fp, n, lead). With b: a pair of sets that share a leading shingle and can be similar, a < b;
-    all pairs of shingles that up to `small` sets share, of others those with the first `centres` sets. Without b: a set
-    of such a larger bucket, whose other pairs are left to crossings()."""
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    new = np.ones(len(pairs), bool)
+    new[1:] = (pairs[1:] != pairs[:-1]).any(1)
+    return pairs[new]
+
+
+class _Candidates:
+    """Pairs of sets to be compared, gathered in a task: each once, by the block of the second one."""
+
+    def __init__(self, blocks: int) -> None:
+        self.blocks, self.parts, self.size = blocks, [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.parts.append(np.stack((a, b), 1))
+        self.size += len(a)
+
+    def rows(self, least: int = 1) -> Iterator[pa.RecordBatch]:
+        """If there are `least` pairs: rows of _MET with the pairs of a block, and one for each set in them."""
+        if self.size < least:
+            return
+        pairs = _distinct(np.sort(np.concatenate(self.parts), axis=1))
+        self.__init__(self.blocks)  # type: ignore[misc]
+        home = _block(pairs[:, 1], self.blocks)
+        order = np.argsort(home, kind="stable")
+        cuts = np.flatnonzero(np.diff(home[order], prepend=-1))
+        data = [pairs[order[x:y]].tobytes() for x, y in itertools.pairwise([*cuts.tolist(), len(order)])]
+        yield _met(block=pa.array(home[order][cuts].astype(np.int32)), data=pa.array(data, pa.binary()))
+        sets = np.unique(pairs)
+        yield _met(block=pa.array(np.full(len(sets), -1, np.int32)), fp=pa.array(sets))
+
+
+_MET = "block int, data binary, key long, fp long, n int, pos int"
+_MET_SCHEMA = pa.schema([("block", pa.int32()), ("data", pa.binary()), ("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+
+
+def _met(**columns: pa.Array) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in _MET_SCHEMA], schema=_MET_SCHEMA)
+
+
+def _block(fp: np.ndarray, blocks: int) -> np.ndarray:
+    return (fmix(fp.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+
+
+def _possible(rows: list[np.ndarray], at: np.ndarray, to: np.ndarray, overlap: Overlap) -> tuple[np.ndarray, np.ndarray]:
+    """Of the sets in some places of a bucket's rows (key, fp, n, pos): pairs that can be similar."""
+    _, fp, n, pos = rows[:4]
+    ok = overlap.possible(n[at].astype(np.int64), pos[at], n[to].astype(np.int64), pos[to])
+    return fp[at[ok]], fp[to[ok]]
+
+
+def meetings(rep: DataFrame, overlap: Overlap, blocks: int) -> DataFrame:
+    """Of rows (fp, n, lead), rows of _MET. Block 0 or more: pairs of sets that can be similar (smaller and larger fp, 64 bits each): of
+    each leading shingle that sets share, the first of them with each other one. Block -1: a set in such pairs. Block -2: a
+    set (key, fp, n, pos) of those that share a shingle, three or more, whose other pairs are left to crossings()."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,96 +368,150 @@ def meetings(rep: DataFrame, overlap: Overlap, small: int = 16, centres: int = 4
                 columns = [np.concatenate(lead), *(np.repeat(part.column(k).to_numpy(), counts) for k in (0, 1)), np.concatenate([np.arange(c, dtype=np.int32) for c in counts])]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "fp", "n", "pos"])
 
-    def pairs(at: np.ndarray, to: np.ndarray, rows: list[np.ndarray]) -> pa.RecordBatch:
-        _, fp, n, pos = rows
-        ok = overlap.possible(n[at].astype(np.int64), pos[at], n[to].astype(np.int64), pos[to])
-        a, b = fp[at[ok]], fp[to[ok]]
-        none = np.zeros(len(a), np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(none.astype(np.int64)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(none), pa.array(none)], ["key", "a", "b", "n", "pos"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Candidates(blocks)
         for rows, starts, ends in _buckets(batches):
-            sizes = ends - starts
-            few = sizes <= small
-            size = sizes[few]
-            at = np.repeat(starts[few] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            size = ends - starts
+            to = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            first = np.repeat(starts, size)
+            other = to != first
+            found.add(*_possible(rows, first[other], to[other], overlap))
+            some = to[np.repeat(size, size) > 2]
+            key, fp, n, pos = (pa.array(x[some]) for x in rows)
+            yield _met(block=pa.array(np.full(len(some), -2, np.int32)), key=key, fp=fp, n=n, pos=pos)
+            yield from found.rows(1 << 18)
+        yield from found.rows()
+
+    keys = rep.select("fp", "n", "lead").filter("n > 0").mapInArrow(spread, "key long, fp long, n int, pos int")
+    return keys.repartition(partitions(rep.sparkSession), "key").sortWithinPartitions("key", "fp").mapInArrow(run, _MET)
+
+
+def crossings(members: DataFrame, overlap: Overlap, blocks: int, small: int = 16) -> DataFrame:
+    """Of rows (key, fp, n, pos, root), rows of _MET with the pairs that share the key, can be similar and have different roots,
+    without those that meetings() gave. `small` only says which buckets are worked on side by side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Candidates(blocks)
+        for rows, starts, ends in _buckets(batches, 3):
+            root = rows[4]
+            edge = np.append(0, np.cumsum(root[1:] != root[:-1]))
+            mixed = edge[starts] != edge[ends - 1]  # a bucket of one root has no pair to compare
+            starts, ends = starts[mixed], ends[mixed]
+            few = ends - starts <= small
+            size = (ends - starts - 1)[few]
+            at = np.repeat(starts[few] + 1 - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
             end = np.repeat(ends[few], size)
             for far in range(1, small):
                 use = at + far < end
                 at, end = at[use], end[use]
                 if not len(at):
                     break
-                yield pairs(at, at + far, rows)
+                some = at[root[at] != root[at + far]]
+                found.add(*_possible(rows, some, some + far, overlap))
+            yield from found.rows(1 << 18)
             for a, b in zip(starts[~few].tolist(), ends[~few].tolist(), strict=True):
-                key, fp, n, pos = (x[a:b] for x in rows)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp), pa.nulls(b - a, pa.int64()), pa.array(n), pa.array(pos)], ["key", "a", "b", "n", "pos"])
-                for k in range(min(centres, b - a - 1)):
-                    to = np.arange(a + k + 1, b)
-                    yield pairs(np.full(len(to), a + k), to, rows)
-
-    keys = rep.select("fp", "n", "lead").filter("n > 0").mapInArrow(spread, "key long, fp long, n int, pos int")
-    return keys.repartition(partitions(rep.sparkSession), "key").sortWithinPartitions("key", "fp").mapInArrow(run, "key long, a long, b long, n int, pos int")
-
-
-def crossings(members: DataFrame, overlap: Overlap, centres: int = 4) -> DataFrame:
-    """Pairs (a, b), a < b, of rows (key, fp, n, pos, root) that share the key, can be similar and have different roots, without
-    those that meetings() gave."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, fp, n, pos, root), starts, ends in _buckets(batches):
-            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                if (root[a:b] == root[a]).all():
-                    continue
-                for k in range(a + centres, b - 1):
+                for k in range(a + 1, b - 1):
                     to = k + 1 + np.flatnonzero(root[k + 1 : b] != root[k])
-                    to = to[overlap.possible(np.int64(n[k]), pos[k], n[to].astype(np.int64), pos[to])]
-                    if len(to):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), fp[k])), pa.array(fp[to])], ["a", "b"])
+                    found.add(*_possible(rows, np.full(len(to), k), to, overlap))
+                    yield from found.rows(1 << 18)
+        yield from found.rows()
 
     n = partitions(members.sparkSession)
-    return members.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
-
-
-def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, small: int = 16) -> DataFrame:
+    return members.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(run, _MET)
+
+
+def compared(met: DataFrame, sets: DataFrame, overlap: Overlap) -> DataFrame:
+    """Links (a, b) that connect what the similar pairs of met connect, by whole sets; sets: rows (fp, whole). A block's second sets
+    are held, and each set that is to be compared with some of them comes along once. Of a block's links a forest goes on."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in itertools.groupby(_rows(batches, 2), key=lambda r: r[0]):
+            pairs = _distinct(np.concatenate([np.frombuffer(r[1], np.int64).reshape(-1, 2) for r in rows]))
+            cuts = [*range(0, len(pairs), 1 << 18), len(pairs)]
+            yield _met(block=pa.array([block] * (len(cuts) - 1), pa.int32()), data=pa.array([pairs[x:y].tobytes() for x, y in itertools.pairwise(cuts)], pa.binary()))
+            for kind in (0, 1):  # as n: 0 for sets that others are compared with, else 2
+                asked = np.unique(pairs[:, 1 - kind])
+                yield _met(block=pa.array(np.full(len(asked), block, np.int32)), fp=pa.array(asked), n=pa.array(np.full(len(asked), 2 * kind, np.int32)))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in itertools.groupby(_rows(batches, 4), key=lambda r: r[0]):
+            own: dict[int, np.ndarray] = {}
+            parts: list[np.ndarray] = []
+            pairs, links = None, []
+            up: dict[int, int] = {}  # towards the root of each set's tree
+            for _, kind, fp, data in rows:
+                if kind == 0:
+                    own[fp] = np.frombuffer(data, np.uint64)
+                elif kind == 1:
+                    parts.append(np.frombuffer(data, np.int64).reshape(-1, 2))
+                else:
+                    if pairs is None:
+                        pairs = np.concatenate(parts)
+                        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+                    x, y = np.searchsorted(pairs[:, 0], fp), np.searchsorted(pairs[:, 0], fp, side="right")
+                    others = pairs[x:y, 1]
+                    near = others[overlap.holds(np.frombuffer(data, np.uint64), [own[b] for b in others.tolist()])]
+                    for b in near.tolist():
+                        one, other = root(up, fp), root(up, b)
+                        if one != other:
+                            up[one] = other
+                            links.append((fp, b))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
+
+    def root(up: dict[int, int], x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    n = partitions(met.sparkSession)
+    asked = written(met.filter("data IS NOT NULL").select("block", "data").repartition(n, "block").sortWithinPartitions("block").mapInArrow(ask, _MET))
+    told = asked.filter("data IS NOT NULL").select("block", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("fp"), "data")
+    come = asked.filter("fp IS NOT NULL").select("block", F.col("n").alias("kind"), "fp").join(sets, "fp").select("block", "kind", "fp", F.col("whole").alias("data"))
+    rows = told.union(come)
+    return written(rows.repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(compare, "a long, b long"))
+
+
+def _rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
+    """Rows of columns of which the last is binary."""
+    for batch in slices(batches, width - 1, 1 << 20):
+        yield from zip(*(batch.column(k).to_pylist() for k in range(width)), strict=True)
+
+
+#: Bytes of sets of shingles in a block.
+BLOCK_BYTES = 8 << 20
+
+
+def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of df, all columns, that are the first of their group of near copies: the one of the smallest id (null last, rows
     of one id by a hash of the text).
 
     Two texts are linked if the Jaccard similarity of their whole sets of shingles is `similarity` or more; groups are what links
     connect. No link is missed: sets so similar share one of their leading shingles, in any order that is the same for all sets,
-    and each pair that does and isn't yet connected is compared, set by set. Equal sets are one group, and wordless texts.
+    and each pair that does and isn't yet connected is compared, set by set: first one of those that share a shingle with each
+    other one, then all whose groups still differ. Equal sets are one group, and wordless texts. An empty table gives an empty one.
     """
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id_"), F.xxhash64(F.col(text_col).cast("string")).alias("tie_")]
     texts = df.select(*key, F.col(text_col).cast("string").alias("text_"))
     overlap = Overlap(round(1000 * similarity))
     prints = written(leading(texts, width, overlap, common_shingles(texts, width)))
     rep = written(prints.groupBy("fp").agg(F.min(F.struct("id_", "tie_", "n", "lead")).alias("m")).select("fp", "m.*"))
-    met = written(meetings(rep, overlap, small))
-    nodes = met.select(F.col("a").alias("fp")).union(met.select("b").filter("b IS NOT NULL")).distinct()
-    wanted = rep.select("fp", "id_", "tie_").join(nodes, "fp")
+    blocks = 1 + 8 * (rep.agg(F.sum("n")).collect()[0][0] or 0) // BLOCK_BYTES
+    met = written(meetings(rep, overlap, blocks))
+    wanted = rep.select("fp", "id_", "tie_").join(met.filter("block < 0").select("fp").distinct(), "fp")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(x, width)).tobytes() for x in raw_texts(batch.column(1))], pa.binary())], ["fp", "whole"])
 
-    sets = written(texts.join(wanted, ["id_", "tie_"]).groupBy("fp").agg(F.first("text_").alias("text_")).mapInArrow(whole, "fp long, whole binary"))
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ok = [overlap.holds(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-        both = pairs.distinct().join(sets.withColumnsRenamed({"fp": "a", "whole": "x"}), "a").join(sets.withColumnsRenamed({"fp": "b", "whole": "y"}), "b")
-        return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
-
-    near = compared(met.filter("b IS NOT NULL").select("a", "b"))
+    sets = written(texts.join(wanted, ["id_", "tie_"]).dropDuplicates(["id_", "tie_"]).select("fp", "text_").mapInArrow(whole, "fp long, whole binary"))
+    near = compared(met, sets, overlap)
     roots = components(near)
-    many = met.filter("b IS NULL").select("key", F.col("a").alias("fp"), "n", "pos")
-    if not many.isEmpty():
-        crossed = many.join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").select("key", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
-        more = compared(crossings(crossed, overlap))
-        if not more.isEmpty():
-            roots = components(near.union(more))
+    members = met.filter("block = -2").select("key", "fp", "n", "pos")
+    rooted = members.join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").select("key", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
+    more = compared(written(crossings(rooted, overlap, blocks)), sets, overlap)
+    if not more.isEmpty():
+        roots = components(near.union(more))
     rooted = rep.select("fp", "id_", "tie_").join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "id_", "tie_")
     keep = rooted.groupBy("root").agg(F.min(F.struct("id_", "tie_")).alias("m")).select("m.id_", "m.tie_")
     names = [f"c{k}_" for k in range(len(df.columns))]
