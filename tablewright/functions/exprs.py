@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tablewright.functions.values import CURRENCY, DATE_FORMATS, FALSE_TOKENS, IDENTIFIER_ENDS, IDENTIFIER_PARTS, MOJIBAKE, NULL_TOKENS, PII, TRUE_TOKENS
+from tablewright.functions.values import CURRENCY, DATE_FORMATS, FALSE_TOKENS, IDENTIFIER_PARTS, MOJIBAKE, MORE_DATE_FORMATS, NULL_TOKENS, PII, TIMES, TRUE_TOKENS
 
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 NUMBER = r"(?i)^[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf(inity)?)$"
@@ -54,10 +52,12 @@ def category_key(c: Column) -> Column:
 
 
 def clean_numeric(c: Column) -> Column:
-    out = F.regexp_replace(strip(c), f"[{re.escape(CURRENCY)}]", "")
-    out = F.regexp_replace(out, r"(?<=\d),(?=\d{3}\b)", "")
-    out = F.regexp_replace(out, r"^\((.*)\)$", "-$1")
-    return F.regexp_replace(F.regexp_replace(out, "%", ""), f"{SPACE}+", "")
+    """A written amount as plain digits: no currency, no commas between thousands, a minus for brackets, then no percent or space."""
+    amount = F.translate(strip(c), CURRENCY, "")
+    amount = F.regexp_replace(amount, r"(\d),(?=\d{3}(?!\w))", "$1")
+    inside = F.substring(amount, 2, F.greatest(F.length(amount) - 2, F.lit(0)))
+    amount = F.when(amount.startswith("(") & amount.endswith(")"), F.concat(F.lit("-"), inside)).otherwise(amount)
+    return F.regexp_replace(amount, f"%|{SPACE}", "")
 
 
 def to_number(c: Column) -> Column:
@@ -66,8 +66,8 @@ def to_number(c: Column) -> Column:
     return F.when((F.abs(value) == float("inf")) & ~F.lower(c).contains("inf"), None).otherwise(value)
 
 
-def parse_date(c: Column, dayfirst: bool = False, fmt: str | None = None) -> Column:
-    """timestamp_ntz of text in any of the known formats, day or month first; ISO forms too."""
+def parse_date(c: Column, dayfirst: bool = False, fmt: str | None = None, wide: bool = False) -> Column:
+    """timestamp_ntz of text in any of the known formats, day or month first; ISO forms too. wide: further forms, and a time of day."""
     c = strip(c)
     if fmt:
         return F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
@@ -76,7 +76,10 @@ def parse_date(c: Column, dayfirst: bool = False, fmt: str | None = None) -> Col
         swap = {"M/d/yyyy": "d/M/yyyy", "M/d/yy": "d/M/yy", "M.d.yyyy": "d.M.yyyy", "M-d-yyyy": "d-M-yyyy"}
         swap |= {v: k for k, v in swap.items()}
         formats = [swap.get(f, f) for f in formats]
-    found = F.coalesce(*[F.try_to_timestamp(c, F.lit(f)).cast("timestamp_ntz") for f in formats], c.try_cast("timestamp_ntz"))
+    read = lambda some: F.coalesce(*[F.try_to_timestamp(c, F.lit(f)).cast("timestamp_ntz") for f in some])
+    found = F.coalesce(read(formats), c.try_cast("timestamp_ntz"))
+    if wide:  # looked at only where no known format fits
+        found = F.when(found.isNull() & c.isNotNull(), read([f + TIMES for f in (*formats, *MORE_DATE_FORMATS)])).otherwise(found)
     return F.when(c.rlike(r"\d"), found)
 
 
@@ -115,5 +118,6 @@ def masked(c: Column, mode: str, salt: str) -> Column:
 
 
 def identifier_like(name: str) -> bool:
-    name = name.strip().lower()
-    return bool(re.search(rf"(^|_|\b)({'|'.join(IDENTIFIER_PARTS)})(_|$|\b)", name)) or name.endswith(IDENTIFIER_ENDS)
+    """Whether one of the name's parts says that it identifies or reaches somebody."""
+    parts = "".join(ch if ch.isalnum() else " " for ch in name.lower()).split()
+    return not IDENTIFIER_PARTS.isdisjoint(parts)

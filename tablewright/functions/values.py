@@ -12,9 +12,8 @@ FALSE_TOKENS = ("false", "f", "no", "n", "0", "0.0", "off", "disabled")
 # Fixed value: currency symbols.
 CURRENCY = "$€£¥₹₽¢"
 # Name parts of identifiers and contact data.
-IDENTIFIER_PARTS = ("id", "uuid", "guid", "key", "code", "email", "phone", "mobile", "fax", "username", "account", "zip", "zipcode", "postcode", "pin")
-IDENTIFIER_ENDS = ("_id", "_email", "_phone")
-KEY_WORDS = ("id", "uuid", "guid", "key", "code", "no", "number", "email", "username")
+IDENTIFIER_PARTS = frozenset(("id", "uuid", "guid", "key", "code", "email", "phone", "mobile", "fax", "username", "account", "zip", "zipcode", "postcode", "pin"))
+KEY_WORDS = frozenset(("id", "uuid", "guid", "key", "code", "no", "number", "email", "username"))
 # Name parts of quantities that can't be negative, and of percentages.
 NON_NEGATIVE = (
     "age", "price", "amount", "cost", "qty", "quantity", "count", "salary", "income", "weight", "height",
@@ -56,3 +55,6 @@ DATE_FORMATS = (
     "yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "M/d/yy", "d/M/yy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "yyyyMMdd",
     "M.d.yyyy", "d.M.yyyy", "M-d-yyyy", "d-M-yyyy",
 )
+#: More forms that a cast to dates takes; a time of day may follow any form.
+MORE_DATE_FORMATS = ("MMM d yyyy", "MMMM d, yyyy", "MMMM d yyyy", "d-MMM-yyyy", "d-MMM-yy", "d MMM, yyyy", "d MMMM, yyyy", "yyyy.M.d")
+TIMES = "['T'][ ][h:mm[:ss] a][H:mm[:ss]]"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,7 +95,7 @@ def duplicate_rows(p: Profile) -> list[Finding]:
     for c in p.fields:
         name = c.lower()
         filled = p.stats[c]["filled"]
-        if filled > 10 and (re.search(rf"\b({'|'.join(KEY_WORDS)})\b", name) or name.endswith("_id")) and (n := filled - p.distinct[c]["distinct"]):
+        if filled > 10 and (not KEY_WORDS.isdisjoint(re.split(r"\W+", name)) or name.endswith("_id")) and (n := filled - p.distinct[c]["distinct"]):
             out.append(Finding(finding_id("dupkey", c), "duplicates", "high", f"'{c}' looks like a key but repeats", f"{n} repeated value(s).", [c], {"repeats": n}, "drop_duplicate_rows", {"subset": [c], "keep": "first"}, 0.7))
     return out
 
@@ -283,19 +283,20 @@ def personal_data(p: Profile) -> list[Finding]:
     return out
 
 
-def scan(df: DataFrame) -> list[Finding]:
-    """Findings of all checks, the gravest first. A check that fails is logged and left out."""
+def scan(df: DataFrame, only: Collection[Callable[[Profile], list[Finding]]] | None = None) -> list[Finding]:
+    """Findings of all checks, or of some, the gravest first. A check that fails is a finding of its own (`failed-...`)."""
     profile = Profile(df)
     found: list[Finding] = []
     try:
         names = [c for c in df.columns if c != RID]
         if len(set(names)) < len(names):  # no column can be told from another of its name
             return shape(_names_only(df))
-        for f in CHECKS:
+        for f in CHECKS if only is None else only:
             try:
                 found += f(profile)
-            except Exception:
+            except Exception as e:
                 log.exception("check %s failed", f.__name__)
+                found.append(Finding(finding_id("failed", f.__name__), "structure", "info", f"The check {f.__name__} could not be made", f"{type(e).__name__}: {e}"[:300]))
     finally:
         profile.close()
     return sorted(found, key=Finding.rank)

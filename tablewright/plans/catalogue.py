@@ -15,6 +15,7 @@ from tablewright.functions import exprs as X
 from tablewright.functions.values import FALSE_TOKENS, NULL_TOKENS, TRUE_TOKENS
 from tablewright.model import RID
 from tablewright.operators import actions as A
+from tablewright.operators import checks as C
 from tablewright.operators.checks import scan
 from tablewright.operators.profile import Profile
 from tablewright.plans.cleaner import Cleaner, replay
@@ -64,8 +65,17 @@ def by_column(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+_CHECK = {
+    "miss": C.missing, "ws": C.white_space, "booltext": C.booleans_as_text, "numtext": C.numbers_as_text, "dttext": C.dates_as_text, "ambig": C.category_spellings, "dominant": C.rare_and_dominant,
+    "hicard": C.high_cardinality, "const": C.constant_columns, "dupcol": C.duplicate_columns, "duprow": C.duplicate_rows, "dupkey": C.duplicate_rows, "neardup": C.duplicate_rows, "outlier": C.outliers,
+    "neg": C.impossible_values, "age": C.impossible_values, "pct": C.impossible_values, "baddate": C.impossible_values, "colnames": C.column_names, "pii": C.personal_data, "sentinel": C.sentinels, "moji": C.mojibake,
+    "rare": C.rare_and_dominant, "emptycol": C.empty_rows_and_columns, "emptyrow": C.empty_rows_and_columns,
+}
+
+
 def found(df: DataFrame, prefix: str):
-    return [f for f in scan(df) if f.id.startswith(prefix + "-")]
+    """What one check finds."""
+    return [f for f in scan(df, [_CHECK[prefix]]) if f.id.startswith((prefix + "-", "failed-"))]
 
 
 # -- profile and checks ------------------------------------------------------------------------------------------------

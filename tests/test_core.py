@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from tablewright.model import RID, DataError, Finding
 from tablewright.operators import actions as A
 from tablewright.operators.checks import CHECKS, scan
+from tablewright.operators.profile import Profile
 from tablewright.plans.catalogue import ORACLES, QUERIES
 from tablewright.plans.cleaner import Cleaner, replay
 from tablewright.plans.planner import build_plan, refusal, review, risk_of
 from tablewright.plans.service import Service
-from tablewright.sources.readers import csv_text, load_bytes, read_any, records
+from tablewright.sources.readers import csv_text, load_bytes, read_any, records, sniff_delimiter
 from tablewright.sources.writers import FORMATS, to_bytes, write_any
 from tablewright.streaming.replay import replay_stream, start
 
@@ -171,3 +172,41 @@ def test_audit_and_name_scan_take_all_rows(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "found", lambda df, kind: seen.append(df.count()) or [])
     catalogue.QUERIES["name_scan"](spark, d)
     assert seen == [spark.read.parquet(f"{d}/lineitem.parquet").count()]
+
+
+def test_mixed_date_forms(spark):
+    forms = {
+        "03/04/2024 14:30": "2024-03-04 14:30:00", "03/04/2024 2:30 PM": "2024-03-04 14:30:00", "March 5, 2024": "2024-03-05 00:00:00", "31-Jan-2024": "2024-01-31 00:00:00",
+        "Jan 5 2024": "2024-01-05 00:00:00", "2024-01-02T03:04:05": "2024-01-02 03:04:05", "31/12/2023 08:15:10": "2023-12-31 08:15:10", "no date": None,
+    }
+    df = A.cast_datetime(spark.createDataFrame([(k, k) for k in forms], "a string, b string"), ["b"])[0]
+    assert {r["a"]: str(r["b"]) if r["b"] else None for r in df.collect()} == forms
+
+
+def test_patterns_count_long_values_and_repeats(spark):
+    long = "x" * 400 + "  Ã"
+    p = Profile(spark.createDataFrame([("N/A",)] * 3 + [(long,)] * 2 + [(None,), ("a b",)], "t string"))
+    s = p.stats["t"]
+    assert (s["filled"], s["sentinels"], s["mojibake"], s["spaced"], p.rows) == (6, 3, 2, 2, 7)
+    p.close()
+
+
+def test_failed_check_is_told(spark, monkeypatch):
+    def broken(p):
+        raise RuntimeError("no luck")
+
+    df = spark.createDataFrame([(1,)], "a int")
+    assert [f.id.split("-")[0] for f in scan(df, [broken])] == ["failed"]
+
+
+def test_blocks_are_even_whatever_the_order_column(spark):
+    df = spark.range(5000).select((F.col("id") * F.col("id") * F.col("id")).alias("o"))
+    sizes = [r["count"] for r in A._blocks(df, "o", 64).groupBy("block_").count().collect()]
+    assert len(sizes) > 50 and max(sizes) < 3 * 5000 / 64
+    got = A._positions(A._blocks(df, "o", 64), "o").orderBy("o").select("pos_").collect()
+    assert [r[0] for r in got] == list(range(1, 5001))
+
+
+@pytest.mark.parametrize(("text", "mark"), [("a,b;c\n1,2;3\n4,5;6", ","), ("a;b\n1,2;3,4\n", ";"), ("a|b\n1|2", "|"), ("a\n1;2", ",")])
+def test_delimiters(text, mark):
+    assert sniff_delimiter(text) == mark
