@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,12 @@ SLICE_BYTES = 4 << 20
 #: Word characters: all but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+
+def vocabulary(name: str) -> str:
+    """Where a file of the installed public vocabularies is: the default of parameters that name one."""
+    return public_tokenizers.path(name)
+
+
 _own_folder: str | None = None
 _written: list[tuple[SparkSession, str]] = []
 

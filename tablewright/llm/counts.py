@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablewright.llm.common import block_offsets, documents, id_block, slices, written
+from tablewright.llm.common import block_offsets, documents, id_block, slices, vocabulary, written
 
-TOKENIZERS = "/opt/tokenizers"
+RANK_FILE = vocabulary("byte_bpe_50k.tiktoken")
 #: The split pattern that the vocabulary file belongs to (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -32,7 +32,7 @@ def encoding(path: str):
     return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def length_histogram(df: DataFrame, text_col: str = "text", path: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
+def length_histogram(df: DataFrame, text_col: str = "text", path: str = RANK_FILE) -> DataFrame:
     """Rows (n_tokens, n_docs): how many whole texts have so many ids. A null text counts as an empty one, with none.
     Each task adds up its own documents before the shuffle. An empty table gives an empty result."""
 

@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import documents, raw_texts, slices
+from tablewright.llm.common import documents, raw_texts, slices, vocabulary
 
-MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+MODEL_FILE = vocabulary("piece_bpe_32k.model")
 MARK = "▁"
-KEPT_WORDS = 800_000
+KEPT_WORDS, KEPT_LENGTH = 800_000, 200  # words whose ids are kept for later texts, and the longest of them
 
 
 class PieceModel:
@@ -63,7 +63,7 @@ class PieceModel:
             raise ValueError("a piece reaches across marked words")
         self.known: dict[str, bytes] = {}
         self.apart: dict[tuple[str, str], bool] = {}
-        probe = "  x  y \n z "
+        probe = "  x  y \n z \t①ﬁＡ½İ\u3000e\u0301\u00a0"  # what a normalisation of any kind would change
         self.identity = sp.normalize(probe) == MARK + probe.replace(" ", MARK)
         self.words = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n+").findall
 
@@ -96,20 +96,30 @@ class PieceModel:
         return found
 
     def forward(self, words: Iterable[str]) -> None:
-        """Learn the ids of words, in sorted order, sharing the states of common prefixes."""
-        known, before = self.known, ""
-        last, ids, score = [""], [b""], [0.0]  # of each prefix of the word before: its last piece, its ids, its score
+        """Learn the ids of words, in sorted order, sharing the states of common prefixes. A prefix's state is its last piece (and score);
+        a word's ids are read off backwards from its end, so a word takes memory in proportion to its length."""
+        known, coded, before = self.known, self.coded, ""
+        last, score = [""], [0.0]
         step = self._merged_to if self.bpe else self._best_to
         for word in sorted(words):
             shared, most = 0, min(len(before), len(word))
-            while shared < most and before[shared] == word[shared]:
-                shared += 1
-            del last[shared + 1 :], ids[shared + 1 :], score[shared + 1 :]
-            step(word, shared + 1, last, ids, score)
-            known[word] = ids[-1]
+            if word.startswith(before):
+                shared = most
+            else:
+                while before[shared] == word[shared]:
+                    shared += 1
+            del last[shared + 1 :], score[shared + 1 :]
+            step(word, shared + 1, last, score)
+            end, parts = len(word), []
+            while end:
+                piece = last[end]
+                parts.append(coded.get(piece) or self.spelt(piece))
+                end -= len(piece)
+            parts.reverse()
+            known[word] = b"".join(parts)
             before = word
 
-    def _merged_to(self, word: str, first: int, last: list[str], ids: list[bytes], _: list[float]) -> None:
+    def _merged_to(self, word: str, first: int, last: list[str], _: list[float]) -> None:
         """Go on with the states of the prefixes from length `first`."""
         coded, tails, apart = self.coded, self.tails, self.apart
         for end in range(first, len(word) + 1):
@@ -123,9 +133,8 @@ class PieceModel:
                             piece = some
                             break
             last.append(piece)
-            ids.append(ids[end - len(piece)] + (coded.get(piece) or self.spelt(piece)))
 
-    def _best_to(self, word: str, first: int, last: list[str], ids: list[bytes], score: list[float]) -> None:
+    def _best_to(self, word: str, first: int, last: list[str], score: list[float]) -> None:
         for end in range(first, len(word) + 1):
             best, piece = score[end - 1] + self.lowest, word[end - 1]
             for n in range(1, min(end, self.longest) + 1):
@@ -134,7 +143,6 @@ class PieceModel:
                     best, piece = score[end - n] + self.score[k], word[end - n : end]
             last.append(piece)
             score.append(best)
-            ids.append(ids[end - len(piece)] + (self.coded.get(piece) or self.spelt(piece)))
 
     def spelt(self, char: str) -> bytes:
         """Ids of a character that is no piece."""
@@ -146,8 +154,12 @@ class PieceModel:
         distinct = set().union(*split)
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
-        self.forward(distinct - self.known.keys())
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        self.forward([x for x in distinct if x not in self.known])
+        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
+        for word in distinct:
+            if len(word) > KEPT_LENGTH:
+                del self.known[word]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the text that ids stand for; the mark put before the first word is taken away."""
@@ -165,7 +177,8 @@ def encode_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ids_crc32: unsigned, of the ids as little-endian unsigned 32-bit integers. The ids are decoded again: n_bytes is the decoded
     text's length in UTF-8, round_trip whether it is the text (false for a text that has the mark U+2581 itself, which decodes
-    as a space). A null text counts as an empty one, without ids; null and repeated ids stay; an empty table gives an empty result.
+    as a space). A null text counts as an empty one, without ids; null and repeated ids stay; other columns are not read; an empty
+    table gives an empty result. Text without spaces is one word, of whatever length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import documents, new_folder, partitions, slices
+from tablewright.llm.common import documents, new_folder, partitions, slices, vocabulary
 from tablewright.llm.rangecoder import decode_blocks, encode_blocks
 
-VOCABULARY_FILE = "/opt/tokenizers/word_bpe_49k.json"
+VOCABULARY_FILE = vocabulary("word_bpe_49k.json")
 END_ID = 2
 MAGIC = b"TWTOKEN1"
 BLOCK_IDS = 4096

@@ -182,7 +182,7 @@ def test_op4_held_out(spark):
 
 
 def test_op5(spark, docs, odd):
-    encode = counts.encoding(f"{counts.TOKENIZERS}/byte_bpe_50k.tiktoken").encode_ordinary
+    encode = counts.encoding(counts.RANK_FILE).encode_ordinary
     for df in (docs, odd):
         limits = counts.context_limits(counts.length_histogram(df), width=16)
         n = [len(encode(r["text"] or "")) for r in df.select("text").collect()]
@@ -350,6 +350,50 @@ def test_op8(spark, docs, odd):
     assert [model.decode(x).decode() for x in model.encode(texts[:20] + extra)] == texts[:20] + extra
 
 
+def test_op8_long_words():
+    """Text without spaces: the library's ids, in memory that grows with the length."""
+    import tracemalloc
+
+    model = pieces.PieceModel(pieces.MODEL_FILE)
+    rng = np.random.default_rng(3)
+    letters = "".join(map(chr, rng.integers(33, 127, 300_000)))
+    texts = [letters, letters[:20_000] + "x", "ab" * 30_000, "日本語" * 5000]
+    tracemalloc.start()
+    coded = model.encode(texts)
+    assert tracemalloc.get_traced_memory()[1] < 600 << 20
+    tracemalloc.stop()
+    assert [np.frombuffer(x, "<u4").tolist() for x in coded] == model.sp.encode(texts)
+    assert all(len(x) <= pieces.KEPT_LENGTH for x in model.known)
+
+
+def test_op8_best_paths():
+    """Unigram models: scores of the shared-prefix pass against all ways to cut a word."""
+    rng = np.random.default_rng(7)
+    model = pieces.PieceModel(pieces.MODEL_FILE)
+    names = sorted({"".join(rng.choice(list("abc"), rng.integers(1, 5))) for _ in range(40)} | {"a", "b"})
+    model.bpe, model.known = False, {}
+    model.id_of, model.score = {x: k for k, x in enumerate(names)}, (-10 * rng.random(len(names)) - 0.1).tolist()
+    model.coded = {x: np.array([k], "<u4").tobytes() for x, k in model.id_of.items()}
+    model.longest, model.lowest = max(map(len, names)), min(model.score) - 10.0
+
+    def best(word):
+        if not word:
+            return 0.0
+        ends = [best(word[:-n]) + model.score[model.id_of[word[-n:]]] for n in range(1, len(word) + 1) if word[-n:] in model.id_of]
+        return max([*ends, best(word[:-1]) + model.lowest])
+
+    words = {"".join(rng.choice(list("abcd"), rng.integers(1, 9))) for _ in range(300)}
+    model.forward(words)
+    spelt = {model.spelt(c): c for c in "abcd" if c not in model.id_of}
+    for word in words:
+        raw, text, total, at = model.known[word], "", 0.0, 0
+        while at < len(raw):
+            part = next((x for x in spelt if raw.startswith(x, at)), None)
+            k = int(np.frombuffer(raw[at : at + 4], "<u4")[0])
+            text, total, at = (text + spelt[part], total + model.lowest, at + len(part)) if part else (text + names[k], total + model.score[k], at + 4)
+        assert text == word and total == pytest.approx(best(word))
+
+
 def test_op9(spark, docs, odd):
     for df in (docs, odd):
         rows = imatch.edit_test(df).collect()
