@@ -7,7 +7,7 @@ depend on the length: repetitive text falls below its band, random or encoded te
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,20 +24,20 @@ _NOT_COUNTED = SPACES + bytes(range(0x80, 0xC0))  # white space, and bytes that
 
 @dataclass(frozen=True)
 class Bands:
-    """Limits of the ratio by length in bytes: (from this length, least, most). A text of `chunk_bytes` or more is also cut into
-    chunks of so many bytes, the last one being what is left, and fails if more than `chunk_share` of them leave their band:
-    chunk_band for a full chunk, the limits by length for the last."""
+    """Limits of the ratio by length in bytes: (from this length, least, most), of whole texts and of chunks. A text of `chunk_bytes` or
+    more is also cut into chunks of so many bytes, the last one being what is left, and fails if more than `chunk_share` of
+    them leave the limits for their length."""
 
     level: int = 3
     whole: tuple[tuple[int, float, float], ...] = (
-        (0, 0.0, 9.0), (128, 0.30, 1.05), (256, 0.30, 0.88), (512, 0.28, 0.82), (1024, 0.25, 0.76),
-        (2048, 0.22, 0.74), (4096, 0.19, 0.72), (16384, 0.17, 0.70),
+        (0, 0.0, 9.0), (128, 0.35, 1.05), (256, 0.50, 0.88), (512, 0.50, 0.82), (768, 0.48, 0.80), (1024, 0.465, 0.74), (1536, 0.45, 0.72), (2048, 0.44, 0.70), (3072, 0.435, 0.68),
+        (4096, 0.42, 0.66), (6144, 0.412, 0.66), (8192, 0.403, 0.64), (12288, 0.398, 0.64), (16384, 0.385, 0.62), (32768, 0.37, 0.62), (65536, 0.33, 0.60), (262144, 0.28, 0.60),
     )
+    chunk: tuple[tuple[int, float, float], ...] = ((0, 0.0, 9.0), (128, 0.25, 1.10), (512, 0.36, 0.90), (1024, 0.36, 0.84), (2048, 0.36, 0.78), (4096, 0.36, 0.74))
     chunk_bytes: int = 4096
     chunk_share: float = 0.1
     min_words: int = 50
     max_repeat_percent: int = 50
-    chunk_band: tuple[float, float] = field(default=(0.17, 0.74))
 
 
 def counts_of(raw: bytes) -> tuple[int, int, int, int, int]:
@@ -80,26 +80,20 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def _limits(n: int, bands: Bands) -> tuple[float, float]:
-    return next((least, most) for start, least, most in reversed(bands.whole) if n >= start)
+def _within(raw: bytes, limits: tuple[tuple[int, float, float], ...], zstd: zstandard.ZstdCompressor) -> bool:
+    n = len(raw)
+    least, most = next((low, high) for start, low, high in reversed(limits) if n >= start)
+    return least <= len(zstd.compress(raw)) / n <= most
 
 
 def in_bands(raw: bytes, bands: Bands, zstd: zstandard.ZstdCompressor) -> bool:
-    """Whether the ratios of the text and of its chunks stay within their limits."""
-    n = len(raw)
-    if not n:
-        return True
-    least, most = _limits(n, bands)
-    if not least <= len(zstd.compress(raw)) / n <= most:
+    """Whether the ratios of the text and of its chunks stay within the limits for their lengths; an empty text's do."""
+    if raw and not _within(raw, bands.whole, zstd):
         return False
-    if n < bands.chunk_bytes:
+    if len(raw) < bands.chunk_bytes:
         return True
-    chunks = [raw[k : k + bands.chunk_bytes] for k in range(0, n, bands.chunk_bytes)]
-    out = 0
-    for x in chunks:
-        low, high = bands.chunk_band if len(x) == bands.chunk_bytes else _limits(len(x), bands)
-        out += not low <= len(zstd.compress(x)) / len(x) <= high
-    return out <= bands.chunk_share * len(chunks)
+    chunks = [raw[k : k + bands.chunk_bytes] for k in range(0, len(raw), bands.chunk_bytes)]
+    return sum(not _within(x, bands.chunk, zstd) for x in chunks) <= bands.chunk_share * len(chunks)
 
 
 def measures(raws: list[bytes], bands: Bands) -> list[tuple]:

@@ -470,6 +470,34 @@ def test_op10_judges_every_chunk(docs):
     assert not quality.in_bands(good[0][:4096] + b"buy it now " * 200, bands, zstd)  # in the last chunk of two
 
 
+def test_op10_bands_by_brute_force(docs):
+    """The verdict from the limits as they are written, whatever the length."""
+    import zstandard
+
+    bands = quality.Bands(whole=((0, 0.0, 9.0), (300, 0.5, 0.8), (5000, 0.4, 0.6)), chunk=((0, 0.0, 9.0), (700, 0.45, 0.7)), chunk_bytes=1000, chunk_share=0.25)
+    zstd, seen = zstandard.ZstdCompressor(level=3), set()
+
+    def inside(raw, limits):
+        low, high = max(x for x in limits if x[0] <= len(raw))[1:]
+        return low <= len(zstandard.compress(raw, 3)) / len(raw) <= high
+
+    texts = [r["text"].encode() for r in docs.collect()]
+    for raw in [*texts, *(t[: len(t) // 2] + b"again and " * 60 for t in texts), b"x" * 299, b"x" * 300, b""]:
+        parts = [raw[k : k + 1000] for k in range(0, len(raw), 1000)] if len(raw) >= 1000 else []
+        want = not raw or inside(raw, bands.whole) and sum(not inside(x, bands.chunk) for x in parts) <= 0.25 * len(parts)
+        assert quality.in_bands(raw, bands, zstd) == want
+        seen.add((want, len(raw) >= 1000))
+    assert len(seen) == 4
+
+
+def test_op10_labels(spark):
+    """Rows outside those that the limits were chosen on, at another size: clean ones stay, most repetitive long ones go."""
+    big = SF.replace("0.001", "0.1")
+    rows = spark.read.parquet(f"{big}/documents.parquet").join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").filter(toxicity.fold(F.col("doc_id")) == 1)
+    found = quality.quality_rules(rows).filter("not base_failed").join(rows.select("doc_id", "quality", F.octet_length("text").alias("size")), "doc_id").toPandas()
+    assert found[found.quality == 1].kept.mean() > 0.98 and found[(found.quality == 0) & (found["size"] >= 3072)].kept.mean() < 0.2
+
+
 def test_pipeline(spark, odd):
     import corpus_pipeline
 
