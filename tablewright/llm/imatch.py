@@ -1,13 +1,15 @@
 """Document fingerprints by I-Match.
 
 A first pass counts, over all documents, how many have each term; terms whose inverse document frequency lies in a band
-form the lexicon. The lexicon is thinned at random several times, at several rates. For each thinned lexicon a document's
-distinct terms that it holds are sorted and hashed; these hashes are the fingerprint. A text with so few terms that fewer than
-`least_held` of the thinned lexicons have one of them takes all rates doubled until enough do. The share of hashes that two
-fingerprints have in common, of those for which either has a term, is their likeness.
+form the lexicon. The lexicon is dealt at random into 2, 4, 8, ... thinned lexicons, a level for each number; the first
+`lexicons` of a level are used. A text takes the level at which a thinned lexicon holds half to one of its terms on average, and
+the next two, so that texts of up to four times as many terms have a level in common. For each thinned lexicon the text's distinct terms that it holds are sorted and hashed; these hashes
+are the fingerprint. A hash then rests on very few terms, so that an edit leaves the others as they are. The share of hashes
+that two fingerprints have in common, of those at the same level for which either has a term, is their likeness.
 
 The lexicon's size has a bound that doesn't grow with the number of documents: a term in it is in at least a share
-`least` of them, so there are at most (mean distinct terms of a document) / least. It is checked before it is sent out.
+`least` of them, so there are at most (mean distinct terms of a document) / least. It is checked before it is sent out: where
+there are more than `most_terms`, those in the fewest documents are left out, by raising the least number of documents.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,8 +27,9 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tablewright.llm.common import documents, fmix, partitions, raw_texts, slices
+from tablewright.llm.common import documents, fmix, partitions, raw_texts, slices, written
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _EMPTY = b"\0\0\0\0"
@@ -33,13 +37,14 @@ _EMPTY = b"\0\0\0\0"
 
 @dataclass(frozen=True)
 class Band:
-    """idf: least and most of ln(documents / documents with the term). rates: of each thinned lexicon.
-    least_held: thinned lexicons that must hold a term of a text, else its rates double. most_terms: bound of the
+    """idf: least and most of ln(documents / documents with the term). lexicons: thinned ones of a level that are used; levels: that a text
+    takes. A text with fewer than least_terms terms of the lexicon is fingerprinted by all its terms. most_terms: bound of the
     lexicon that is sent to the executors."""
 
     idf: tuple[float, float] = (2.5, 8.0)
-    rates: tuple[float, ...] = (1 / 32,) * 8 + (1 / 128,) * 8 + (1 / 512,) * 8
-    least_held: int = 4
+    lexicons: int = 32
+    levels: int = 3
+    least_terms: int = 8
     seed: int = 7
     most_terms: int = 8_000_000
 
@@ -116,50 +121,72 @@ def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 
 
 def lexicon_of(texts: DataFrame, n: int, band: Band) -> np.ndarray:
-    """Sorted hashes of the terms in the band."""
+    """Sorted hashes of the terms in the band; of more than most_terms, those in the most documents, none of equals being left."""
     least, most = band.frequencies(n)
-    rows = document_frequencies(texts).filter(F.col("df").between(least, most)).select("hash").limit(band.most_terms + 1).toArrow()
-    if rows.num_rows > band.most_terms:
-        raise ValueError(f"more than {band.most_terms} terms in the band: narrow it")
-    return np.sort(rows.column(0).to_numpy().view(np.uint64))
+    some = written(document_frequencies(texts).filter(F.col("df").between(least, most)))
+    if some.count() > band.most_terms:
+        by_df = some.groupBy("df").count().orderBy(F.desc("df"))  # a row for each number of documents
+        held = by_df.withColumn("terms", F.sum("count").over(Window.orderBy(F.desc("df")))).filter(F.col("terms") <= band.most_terms)
+        some = some.join(F.broadcast(held.agg(F.min("df").alias("from_"))), F.col("df") >= F.col("from_")).select("hash", "df")
+    return np.sort(some.select("hash").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+_HEAD = struct.Struct("<BB")  # level, and 1 if the terms are all those of the text
+_WORDLESS = xxhash.xxh32_digest(b"", 1)
+
+
+def level_of(terms: int) -> int:
+    """The least level with a thinned lexicon or more for each term."""
+    return (terms - 1).bit_length() if terms else 0
 
 
 def prints(raws: list[bytes], lexicon: np.ndarray, band: Band) -> list[bytes]:
-    """The fingerprint of each text: four bytes for each thinned lexicon, zero if the text has none of its terms. A text without
-    any term of the lexicon is fingerprinted by all its terms. No fingerprint is all zeros."""
+    """The fingerprint of each text: its least level, then four bytes for each thinned lexicon of this level and of the next ones, zero
+    if the text has none of its terms. None is all zeros."""
     hashes, starts, flat = distinct_terms(raws)
     if len(lexicon):
         at = np.minimum(np.searchsorted(lexicon, hashes), len(lexicon) - 1)
         known = lexicon[at] == hashes
     else:
         known = np.zeros(len(hashes), bool)
-    seeds = fmix(np.arange(1, len(band.rates) + 1, dtype=np.uint64) + np.uint64(band.seed << 32))
-    doublings = range(max(0, math.ceil(-math.log2(max(band.rates)))) + 1)  # after the last, a lexicon holds all terms
-    limits = [np.array([min(2**64, int(r * 2 ** (64 + k))) - 1 for r in band.rates], np.uint64) for k in doublings]
-    digest = xxhash.xxh32_digest
+    mixed = fmix(hashes ^ np.uint64(band.seed * 0x9E3779B97F4A7C15 % (1 << 64)))
+    digest, k = xxhash.xxh32_digest, band.lexicons
     out = []
     for a, b in itertools.pairwise(starts.tolist()):
         mine = flat[a:b]
-        h = np.sort(hashes[mine[known[mine]]])
-        if not len(h):
-            every = np.sort(hashes[mine])
-            out.append(b"".join(xxhash.xxh32_digest(every.tobytes(), k + 1) for k in range(len(seeds))))
+        some = mine[known[mine]]
+        every = len(some) < band.least_terms
+        terms = np.sort(mixed[mine if every else some])
+        if not len(terms):
+            out.append(_HEAD.pack(0, 1) + _WORDLESS + bytes(4 * (band.levels * k - 1)))
             continue
-        mixed = fmix(h[None, :] ^ seeds[:, None])
-        for most in limits:
-            held = mixed <= most[:, None]
-            some = held.any(1)
-            if some.sum() >= band.least_held:
+        raw, level = terms.tobytes(), level_of(len(terms))
+        while True:
+            rows = []
+            for x in range(level, level + band.levels):
+                of = (terms >> np.uint64(64 - x)).astype(np.int64) if x else np.zeros(len(terms), np.int64)
+                n = int(np.searchsorted(of, k))  # terms of the first k lexicons
+                row = [_EMPTY] * k
+                cuts = np.flatnonzero(np.diff(of[:n], prepend=-1)).tolist()
+                for c, d in itertools.pairwise([*cuts, n]):
+                    row[of[c]] = digest(raw[8 * c : 8 * d], 0)
+                rows += row
+            if level == 0 or any(x != _EMPTY for x in rows):
                 break
-        out.append(b"".join(digest(h[row].tobytes(), 0) if ok else _EMPTY for row, ok in zip(held, some.tolist(), strict=True)))
+            level -= 1
+        out.append(_HEAD.pack(level, every) + b"".join(rows))
     return out
 
 
-def likeness(a: bytes, b: bytes) -> float:
-    """Equal hashes as a share of those that either has; 0 if neither has any."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    either = (x != 0) | (y != 0)
-    return float(((x == y) & either).sum() / max(1, either.sum()))
+def likeness(a: bytes, b: bytes, levels: int = 3) -> float:
+    """Equal hashes as a share of those that either has, at the levels that both have; 0 if there is none."""
+    (x, every), (y, other) = _HEAD.unpack_from(a), _HEAD.unpack_from(b)
+    p, q = (np.frombuffer(raw, np.uint32, offset=_HEAD.size).reshape(levels, -1) for raw in (a, b))
+    p, q = p[max(0, y - x) : max(0, levels + y - x)], q[max(0, x - y) : max(0, levels + x - y)]
+    if every != other or not len(p):
+        return 0.0
+    either = (p != 0) | (q != 0)
+    return float(((p == q) & either).sum() / max(1, either.sum()))
 
 
 def edited(text: str, following: str) -> str:
@@ -169,7 +196,8 @@ def edited(text: str, following: str) -> str:
 
 
 def imatch(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: Band = Band()) -> DataFrame:
-    """Rows (doc_id, fingerprint): one for each row of df. A null text counts as an empty one; nulls in the id and repeated rows stay."""
+    """Rows (doc_id, fingerprint): one for each row of df. A null text counts as an empty one; nulls in the id and repeated rows
+    stay; equal texts have equal fingerprints; other columns are not read. An empty table gives an empty result."""
     source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lexicon = lexicon_of(source.select("text"), source.count(), band)
 
@@ -244,7 +272,7 @@ def edit_test(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ban
             [
                 pa.array([held[k][2] for k in pairs], pa.int64()), pa.array([len(texts[k]) for k in pairs], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in changed], pa.string()),
                 pa.array([own[k].hex() for k in pairs], pa.string()), pa.array([x.hex() for x in new], pa.string()),
-                pa.array([likeness(own[k], x) for k, x in zip(pairs, new, strict=True)], pa.float64()), pa.array([likeness(own[k], own[k + 1]) for k in pairs], pa.float64()),
+                pa.array([likeness(own[k], x, band.levels) for k, x in zip(pairs, new, strict=True)], pa.float64()), pa.array([likeness(own[k], own[k + 1], band.levels) for k in pairs], pa.float64()),
             ],
             ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
