@@ -1,9 +1,9 @@
 """Toxicity: averaged subword embeddings under a linear softmax, trained together in numpy.
 
 A text is lower-cased and what is no letter or digit becomes a space; its subwords are the runs of 3 to 6 bytes of each word,
-with a space before and behind. Each subword hashes to a row of an embedding table; a text is the mean of the rows of its
-different subwords (so that repetition doesn't drown a word), and a linear layer with softmax over (clean, toxic) stands on it. An unseen misspelling shares most of its subwords' rows with
-the word it is made from. Since both layers are linear, the table of a trained model is folded into one number for each
+with a space before and behind, and the whole word. Each subword hashes to a row of an embedding table; a text is the mean of the rows of its
+different subwords (so that repetition doesn't drown a word), and a linear layer with softmax over (clean, toxic) stands on it.
+An unseen misspelling shares most of its subwords' rows with the word it is made from. Since both layers are linear, the table of a trained model is folded into one number for each
 subword before it is sent out, and scoring is a sum over the text.
 """
 
@@ -22,19 +22,25 @@ from tablewright.llm.common import documents, fmix, slices
 _CLEAN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
+#: A number for each letter at each place of a word; a word's code is their sum.
+_LETTERS = fmix(np.arange(1, 1 + 256 * 64, dtype=np.uint64)).reshape(256, 64)
+
+
 @dataclass(frozen=True)
 class Setup:
     """per_class: labelled rows of each class that the model is fitted on at most, chosen by a hash of the id; max_bytes: of such a
-    text at most. least_docs: fitted texts that a subword must be in; most_share: of fitted clean texts that it may be in, else it stays zero. prior: so many zero
-    rows are added to a text's mean, which a short text then can't swing. scale: the mean is multiplied by it."""
+    text at most, longer ones are not fitted on (all are scored). words: whether whole words are subwords. least_docs: fitted
+    texts that a subword must be in; most_share: of fitted clean texts that it may be in, else it stays zero. prior: so many
+    zero rows are added to a text's mean, which a short text then can't swing. scale: the mean is multiplied by it."""
 
     per_class: int = 2000
     max_bytes: int = 1 << 16
     buckets_log2: int = 18
     lengths: tuple[int, ...] = (3, 4, 5, 6)
-    dim: int = 2
+    words: bool = True
+    dim: int = 8
     least_docs: int = 4
-    most_share: float = 0.25
+    most_share: float = 0.1
     prior: float = 50.0
     scale: float = 100.0
     steps: int = 80
@@ -80,6 +86,17 @@ def _occurrences(raws: list[bytes], setup: Setup) -> tuple[np.ndarray, np.ndarra
         at = np.flatnonzero(ok)
         found.append(((code[at] + np.uint64(n << 56)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - setup.buckets_log2))
         owners.append(owner[at])
+    if setup.words:
+        edges = np.flatnonzero(space)
+        first, size = edges[:-1] + 1, np.diff(edges) - 1
+        long = size + 2 > max(setup.lengths)  # a shorter word is a run already
+        first, size = first[long], size[long]
+        if len(first):
+            place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            letters = text[np.repeat(first, size) + place]
+            code = np.add.reduceat(_LETTERS[letters, np.minimum(place, _LETTERS.shape[1] - 1)], np.cumsum(size) - size)
+            found.append((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - setup.buckets_log2))
+            owners.append(owner[first])
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int32)
     buckets, owners = np.concatenate(found).astype(np.int64), np.concatenate(owners)
@@ -156,14 +173,15 @@ def train(raws: list[bytes], labels: np.ndarray, setup: Setup = Setup()) -> Mode
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", setup: Setup = Setup()) -> Model:
-    """Train on a bounded sample of labelled rows whose crc32 of the id modulo 3 isn't 1 (see Setup). Null ids and labels are left out."""
+    """Train on a bounded sample of labelled rows whose crc32 of the id modulo 3 isn't 1 (see Setup). Null ids and labels are left out; of
+    repeated labels the higher counts, of repeated rows the first text; other columns are not read. No labels: see train()."""
     known = labels.select(F.col(id_col).alias("id_"), F.col(label_col).cast("int").alias("label_")).filter(F.col("id_").isNotNull() & F.col("label_").isin(0, 1) & (fold(F.col("id_")) != 1))
     known = known.groupBy("id_").agg(F.max("label_").alias("label_"))
     texts = df.select(F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text_")).filter(F.octet_length("text_") <= setup.max_bytes)
     found = []
     for label in (0, 1):
         some = known.filter(F.col("label_") == label).orderBy(F.xxhash64("id_"), "id_").limit(setup.per_class)
-        found += texts.join(F.broadcast(some), "id_").select("id_", "text_", "label_").collect()  # per_class rows of labels
+        found += texts.join(F.broadcast(some), "id_").groupBy("id_").agg(F.min("text_"), F.first("label_")).collect()  # per_class rows at most
     found.sort(key=lambda r: (r[0], r[1]))
     return train([r[1].encode() for r in found], np.array([r[2] for r in found], np.int64), setup)
 
@@ -177,7 +195,7 @@ def toxicity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """Rows (doc_id, held_out, score, predicted), one for each row of df: its whole text's score, the text alone being looked at.
 
     Null and wordless texts get the score of the bias. held_out: the row's label could not be learnt; null ids count as held out.
-    Repeated rows stay; an empty table gives an empty result.
+    Repeated rows stay; other columns are not read; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
