@@ -124,7 +124,7 @@ def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 def _anchor_blocks(batches: Iterator[pa.RecordBatch], window: int, homes: np.ndarray, shards: np.ndarray) -> Iterator[pa.RecordBatch]:
     """By block of anchors: each anchor with the ids of its first and last document here, and a home of one that has it."""
-    for batch in slices(batches, 1):
+    for batch in slices(batches, 1, 2 << 20):
         anchors, owner, _, _, _ = anchored(raw_texts(batch.column(1)), window)
         if not len(anchors):
             continue
@@ -350,7 +350,7 @@ def _at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[byte
             raw = unpack.decompress(data[k])
             docs.append((ids[k], raw, (batch, k)))
             size += len(raw)
-            if size > 2 << 20:
+            if size > 1 << 20:
                 yield home, [], docs  # type: ignore[misc]
                 docs, size = [], 0
     if blobs:

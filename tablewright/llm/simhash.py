@@ -240,12 +240,29 @@ class Overlap:
 
     def holds(self, one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
         """Whether a sorted set of different hashes and each of some others are similar."""
-        sizes = np.array([len(x) for x in others])
-        every = np.concatenate(others)
-        at = np.minimum(np.searchsorted(one, every), len(one) - 1)
-        both = np.add.reduceat((one[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+        sizes, every, both = _shared(one, others)
         return 1000 * both >= self.per_mille * (len(one) + sizes - both)
 
+    def open(self, one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+        """Whether sets can be similar by their leading elements in order, after the size of each set. Up to the lesser last one, what
+        is in one lead alone is in one set alone."""
+        n, m = int(one[0]), np.array([int(x[0]) for x in others])
+        one, others = one[1:], [x[1:] for x in others]
+        sizes, every, both = _shared(one, others)
+        starts = np.cumsum(sizes) - sizes
+        until = np.minimum(every[starts + sizes - 1], one[-1])
+        alone = np.searchsorted(one, until, side="right") - both
+        other = np.add.reduceat((every <= np.repeat(until, sizes)).astype(np.int64), starts) - both
+        return np.minimum(n - alone, m - other) * (1000 + self.per_mille) >= self.per_mille * (n + m)
+
+
+def _shared(one: np.ndarray, others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of others, all their elements, and how many of each one's are in a sorted set."""
+    sizes = np.array([len(x) for x in others])
+    every = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, every), len(one) - 1)
+    return sizes, every, np.add.reduceat((one[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+
 
 def common_shingles(texts: DataFrame, width: int, sample: int = 8000, least: int = 4, most: int = 400_000) -> np.ndarray:
     """Sorted hashes of shingles that many texts have, from some `sample` different texts. They only come last in the order
@@ -263,7 +280,7 @@ def common_shingles(texts: DataFrame, width: int, sample: int = 8000, least: int
 
 def leading(texts: DataFrame, width: int, overlap: Overlap, common: np.ndarray) -> DataFrame:
     """Rows (id_, tie_, fp, n, lead) of rows (id_, tie_, text_): a hash of the text's set of shingles, how many there are, and the
-    first of them that a similar set must meet; common ones come last in the order."""
+    first of them that a similar set must meet, in the order of their upper 63 bits, but common ones last (with the highest bit set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
@@ -271,7 +288,7 @@ def leading(texts: DataFrame, width: int, overlap: Overlap, common: np.ndarray)
             lead = []
             for x in sets:
                 last = common[np.minimum(np.searchsorted(common, x), len(common) - 1)] == x if len(common) else np.zeros(len(x), bool)
-                lead.append(np.concatenate((x[~last], x[last]))[: overlap.lead(len(x))].tobytes())
+                lead.append(np.sort(x >> np.uint64(1) | last.astype(np.uint64) << np.uint64(63))[: overlap.lead(len(x))].tobytes())
             fp = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp), pa.array([len(x) for x in sets], pa.int32()), pa.array(lead, pa.binary())], ["id_", "tie_", "fp", "n", "lead"])
 
@@ -420,9 +437,12 @@ def crossings(members: DataFrame, overlap: Overlap, blocks: int, small: int = 16
     return members.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(run, _MET)
 
 
-def compared(met: DataFrame, sets: DataFrame, overlap: Overlap) -> DataFrame:
-    """Links (a, b) that connect what the similar pairs of met connect, by whole sets; sets: rows (fp, whole). A block's second sets
-    are held, and each set that is to be compared with some of them comes along once. Of a block's links a forest goes on."""
+def compared(met: DataFrame, sets: DataFrame, overlap: Overlap, blocks: int = 0) -> DataFrame:
+    """Links (a, b) that connect what the similar pairs of met connect, by whole sets; sets: rows (fp, whole). With `blocks`, sets are
+    leads after their sets' sizes, and what comes are rows of _MET with the pairs that are still open.
+
+    A block's second sets are held, and each set that is to be compared with some of them comes along once. Of a block's
+    links a forest goes on."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in itertools.groupby(_rows(batches, 2), key=lambda r: r[0]):
@@ -434,30 +454,41 @@ def compared(met: DataFrame, sets: DataFrame, overlap: Overlap) -> DataFrame:
                 yield _met(block=pa.array(np.full(len(asked), block, np.int32)), fp=pa.array(asked), n=pa.array(np.full(len(asked), 2 * kind, np.int32)))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_pairs = _Candidates(blocks)
         for _, rows in itertools.groupby(_rows(batches, 4), key=lambda r: r[0]):
-            own: dict[int, np.ndarray] = {}
-            parts: list[np.ndarray] = []
-            pairs, links = None, []
+            links: list[tuple[int, int]] = []
             up: dict[int, int] = {}  # towards the root of each set's tree
-            for _, kind, fp, data in rows:
-                if kind == 0:
-                    own[fp] = np.frombuffer(data, np.uint64)
-                elif kind == 1:
-                    parts.append(np.frombuffer(data, np.int64).reshape(-1, 2))
-                else:
-                    if pairs is None:
-                        pairs = np.concatenate(parts)
-                        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-                    x, y = np.searchsorted(pairs[:, 0], fp), np.searchsorted(pairs[:, 0], fp, side="right")
-                    others = pairs[x:y, 1]
-                    near = others[overlap.holds(np.frombuffer(data, np.uint64), [own[b] for b in others.tolist()])]
-                    for b in near.tolist():
-                        one, other = root(up, fp), root(up, b)
-                        if one != other:
-                            up[one] = other
-                            links.append((fp, b))
+            for fp, one, others, names in probes(rows):
+                if blocks:
+                    near = names[overlap.open(one, others)]
+                    open_pairs.add(np.full(len(near), fp), near)
+                    continue
+                for b in names[overlap.holds(one, others)].tolist():
+                    x, y = root(up, fp), root(up, b)
+                    if x != y:
+                        up[x] = y
+                        links.append((fp, b))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
+            yield from open_pairs.rows(1 << 18)
+        yield from open_pairs.rows()
+
+    def probes(rows: Iterator[tuple]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray]]:
+        """Of a block's rows, sorted by kind: each set that comes along, and the held ones that it is to be compared with, with their names."""
+        own: dict[int, np.ndarray] = {}
+        parts: list[np.ndarray] = []
+        pairs = None
+        for _, kind, fp, data in rows:
+            if kind == 0:
+                own[fp] = np.frombuffer(data, np.uint64)
+            elif kind == 1:
+                parts.append(np.frombuffer(data, np.int64).reshape(-1, 2))
+            else:
+                if pairs is None:
+                    pairs = np.concatenate(parts)
+                    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+                names = pairs[np.searchsorted(pairs[:, 0], fp) : np.searchsorted(pairs[:, 0], fp, side="right"), 1]
+                yield fp, np.frombuffer(data, np.uint64), [own[b] for b in names.tolist()], names
 
     def root(up: dict[int, int], x: int) -> int:
         while (y := up.get(x, x)) != x:
@@ -469,7 +500,7 @@ def compared(met: DataFrame, sets: DataFrame, overlap: Overlap) -> DataFrame:
     told = asked.filter("data IS NOT NULL").select("block", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("fp"), "data")
     come = asked.filter("fp IS NOT NULL").select("block", F.col("n").alias("kind"), "fp").join(sets, "fp").select("block", "kind", "fp", F.col("whole").alias("data"))
     rows = told.union(come)
-    return written(rows.repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(compare, "a long, b long"))
+    return written(rows.repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(compare, _MET if blocks else "a long, b long"))
 
 
 def _rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
@@ -479,7 +510,7 @@ def _rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
 
 
 #: Bytes of sets of shingles in a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 96 << 20
 
 
 def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -497,27 +528,53 @@ def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = written(leading(texts, width, overlap, common_shingles(texts, width)))
     rep = written(prints.groupBy("fp").agg(F.min(F.struct("id_", "tie_", "n", "lead")).alias("m")).select("fp", "m.*"))
     blocks = 1 + 8 * (rep.agg(F.sum("n")).collect()[0][0] or 0) // BLOCK_BYTES
-    met = written(meetings(rep, overlap, blocks))
-    wanted = rep.select("fp", "id_", "tie_").join(met.filter("block < 0").select("fp").distinct(), "fp")
+
+    def after_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2):
+            sizes = batch.column(1).to_numpy().astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n.tobytes() + x for n, x in zip(sizes, batch.column(2).to_pylist(), strict=True)], pa.binary())], ["fp", "whole"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(x, width)).tobytes() for x in raw_texts(batch.column(1))], pa.binary())], ["fp", "whole"])
 
-    sets = written(texts.join(wanted, ["id_", "tie_"]).dropDuplicates(["id_", "tie_"]).select("fp", "text_").mapInArrow(whole, "fp long, whole binary"))
-    near = compared(met, sets, overlap)
+    leads = rep.select("fp", "n", "lead").filter("n > 0").mapInArrow(after_size, "fp long, whole binary")
+
+    def links_of(met: DataFrame) -> DataFrame:
+        """By leads first, then by the whole sets of what is still open."""
+        still = compared(met, leads, overlap, blocks)
+        wanted = written(rep.select("fp", "id_", "tie_").join(still.filter("block = -1").select("fp").distinct(), "fp"))
+        sets = written(texts.join(few(wanted), ["id_", "tie_"]).dropDuplicates(["id_", "tie_"]).select("fp", "text_").mapInArrow(whole, "fp long, whole binary"))
+        return compared(still, sets, overlap)
+
+    met = written(meetings(rep, overlap, blocks))
+    near = links_of(met)
     roots = components(near)
     members = met.filter("block = -2").select("key", "fp", "n", "pos")
     rooted = members.join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").select("key", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
-    more = compared(written(crossings(rooted, overlap, blocks)), sets, overlap)
-    if not more.isEmpty():
-        roots = components(near.union(more))
-    rooted = rep.select("fp", "id_", "tie_").join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "id_", "tie_")
-    keep = rooted.groupBy("root").agg(F.min(F.struct("id_", "tie_")).alias("m")).select("m.id_", "m.tie_")
+    crossed = written(crossings(rooted, overlap, blocks))
+    if not crossed.isEmpty():
+        more = links_of(crossed)
+        if not more.isEmpty():
+            roots = components(near.union(more))
+    rooted = rep.select("fp", "id_", "tie_").join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    firsts = rooted.groupBy("root").agg(F.min(F.struct("id_", "tie_")).alias("first_"))
+    every = prints.select("id_", "tie_", "fp").join(rooted.select("fp", "root"), "fp").join(firsts, "root")
+    gone = written(every.filter(F.struct("id_", "tie_") != F.col("first_")).select("id_", "tie_").distinct())
+    twice = written(prints.groupBy("id_", "tie_").count().filter("count > 1").select("id_", "tie_"))
     names = [f"c{k}_" for k in range(len(df.columns))]
     keyed = df.toDF(*names)
     keyed = keyed.withColumns({"id_": F.coalesce(F.col(names[df.columns.index(id_col)]).cast("long"), F.lit((1 << 63) - 1)), "tie_": F.xxhash64(F.col(names[df.columns.index(text_col)]).cast("string"))})
-    return keyed.join(keep, ["id_", "tie_"], "left_semi").dropDuplicates(["id_", "tie_"]).select(*names).toDF(*df.columns)
+    left = keyed.join(few(gone), ["id_", "tie_"], "left_anti")
+    if not twice.isEmpty():  # one of rows that are equal in both stays
+        once = left.join(few(twice), ["id_", "tie_"], "left_semi").dropDuplicates(["id_", "tie_"])
+        left = left.join(few(twice), ["id_", "tie_"], "left_anti").unionByName(once)
+    return left.select(*names).toDF(*df.columns)
+
+
+def few(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A written table of keys, to be sent out where it has `most` rows or fewer (some 24 MB), else to be joined by a shuffle."""
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def hex16(column: Column) -> Column:
