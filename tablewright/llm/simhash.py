@@ -244,15 +244,15 @@ class Overlap:
         return 1000 * both >= self.per_mille * (len(one) + sizes - both)
 
     def open(self, one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-        """Whether sets can be similar by their leading elements in order, after the size of each set. Up to the lesser last one, what
-        is in one lead alone is in one set alone."""
+        """Whether sets can be similar by their leading elements in order (the upper 32 bits of each), after the size of each set. Below
+        the lesser last one, what is in one lead alone is in one set alone; two elements taken for one leave a pair open."""
         n, m = int(one[0]), np.array([int(x[0]) for x in others])
         one, others = one[1:], [x[1:] for x in others]
         sizes, every, both = _shared(one, others)
         starts = np.cumsum(sizes) - sizes
         until = np.minimum(every[starts + sizes - 1], one[-1])
-        alone = np.searchsorted(one, until, side="right") - both
-        other = np.add.reduceat((every <= np.repeat(until, sizes)).astype(np.int64), starts) - both
+        alone = np.searchsorted(one, until) - both
+        other = np.add.reduceat((every < np.repeat(until, sizes)).astype(np.int64), starts) - both
         return np.minimum(n - alone, m - other) * (1000 + self.per_mille) >= self.per_mille * (n + m)
 
 
@@ -264,7 +264,7 @@ def _shared(one: np.ndarray, others: list[np.ndarray]) -> tuple[np.ndarray, np.n
     return sizes, every, np.add.reduceat((one[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
 
 
-def common_shingles(texts: DataFrame, width: int, sample: int = 8000, least: int = 4, most: int = 400_000) -> np.ndarray:
+def common_shingles(texts: DataFrame, width: int, sample: int = 16000, least: int = 4, most: int = 400_000) -> np.ndarray:
     """Sorted hashes of shingles that many texts have, from some `sample` different texts. They only come last in the order
     of shingles, so what is in this set has a say in the speed, not in the result."""
     kept = texts.filter(F.pmod(F.xxhash64("tie_"), F.lit(max(1, texts.count() // sample))) == 0).dropDuplicates(["tie_"]).select("text_")
@@ -475,12 +475,13 @@ def compared(met: DataFrame, sets: DataFrame, overlap: Overlap, blocks: int = 0)
 
     def probes(rows: Iterator[tuple]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray]]:
         """Of a block's rows, sorted by kind: each set that comes along, and the held ones that it is to be compared with, with their names."""
+        kind_of = np.uint32 if blocks else np.uint64
         own: dict[int, np.ndarray] = {}
         parts: list[np.ndarray] = []
         pairs = None
         for _, kind, fp, data in rows:
             if kind == 0:
-                own[fp] = np.frombuffer(data, np.uint64)
+                own[fp] = np.frombuffer(data, kind_of)
             elif kind == 1:
                 parts.append(np.frombuffer(data, np.int64).reshape(-1, 2))
             else:
@@ -488,7 +489,7 @@ def compared(met: DataFrame, sets: DataFrame, overlap: Overlap, blocks: int = 0)
                     pairs = np.concatenate(parts)
                     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
                 names = pairs[np.searchsorted(pairs[:, 0], fp) : np.searchsorted(pairs[:, 0], fp, side="right"), 1]
-                yield fp, np.frombuffer(data, np.uint64), [own[b] for b in names.tolist()], names
+                yield fp, np.frombuffer(data, kind_of), [own[b] for b in names.tolist()], names
 
     def root(up: dict[int, int], x: int) -> int:
         while (y := up.get(x, x)) != x:
@@ -510,7 +511,7 @@ def _rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
 
 
 #: Bytes of sets of shingles in a block.
-BLOCK_BYTES = 96 << 20
+BLOCK_BYTES = 32 << 20
 
 
 def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -531,8 +532,9 @@ def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def after_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
-            sizes = batch.column(1).to_numpy().astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n.tobytes() + x for n, x in zip(sizes, batch.column(2).to_pylist(), strict=True)], pa.binary())], ["fp", "whole"])
+            sizes = batch.column(1).to_numpy().astype(np.uint32)
+            upper = [(np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n.tobytes() + x for n, x in zip(sizes, upper, strict=True)], pa.binary())], ["fp", "whole"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
