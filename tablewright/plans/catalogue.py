@@ -298,8 +298,8 @@ def near_dup(spark, d):
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY {_NEAR} ORDER BY doc_id) AS rn FROM {_LOUD}) WHERE rn = 1")
 def drop_near_dup(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    df = docs.union(docs.join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").filter("doc_id % 9 = 0 AND lang = 'en'").selectExpr("doc_id + 1000000", "concat(upper(text), ' !')"))
+    docs = table(spark, d, "documents")
+    df = docs.select("doc_id", "text").union(docs.filter("doc_id % 9 = 0 AND lang = 'en'").select(F.col("doc_id") + 1000000, F.concat(X.upper_each(F.col("text")), F.lit(" !"))))
     return A.drop_near_duplicate_rows(df, ["text"], order="doc_id")[0].select("doc_id")
 
 

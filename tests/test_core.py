@@ -41,6 +41,19 @@ def test_same_rows_as_sql(spark, name):
     assert rows == sorted(repr([dict(zip(want.columns, r))[c] for c in order]) for r in want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["drop_near_dup"])
+def test_near_copies_as_in_sql(spark, tmp_path, name):
+    """Letters that the engines' full mappings of case or classes of letters take otherwise."""
+    odd = [chr(c) for c in range(0x80, 0x11000) if not 0xD800 <= c < 0xE000 and (chr(c).isalnum() or chr(c).upper() != chr(c))]
+    texts = ["Gro\u00dfe Stra\u00dfe", "gro\u00dfe stra\u00dfe", "grosse strasse", "\u039f\u0394\u039f\u03a3", "\u03bf\u03b4\u03bf\u03c2", "\u03bf\u03b4\u03bf\u03c3", "\u0130x", "ix", "\ufb01n", "FIN", "", None]
+    texts += ["".join(odd[k : k + 2]) for k in range(0, len(odd), 2)] + [f"{c} {k}" for k, c in enumerate("\u1c89\ua7cb\u0870\U00010570\u019b")]
+    rows = [(9 * k, t, "en" if k % 3 else "de") for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()) == sorted(con.sql(ORACLES[name]).fetchall())
+
+
 def test_numbers_and_dates(spark):
     df = spark.createDataFrame([("$1,234",), ("(5)",), ("1,23",), (" 7 % ",), ("1e400",), ("nan",), (None,)], "x string")
     assert values(A.cast_numeric(df, ["x"])[0], "x") == [1234.0, -5.0, None, 7.0, None, None, None]
