@@ -292,8 +292,8 @@ _LOUD = "(SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + 1000000,
 @query(f"SELECT count(*) - count(DISTINCT {_NEAR}) - (count(*) - count(DISTINCT text)) AS n FROM {_LOUD}")
 def near_dup(spark, d):
     docs = table(spark, d, "documents")
-    df = docs.select("text").union(docs.filter("doc_id % 9 = 0 AND lang = 'en'").selectExpr("concat(upper(text), ' !')"))
-    return by_column(spark, [(x.evidence["count"],) for x in found(df, "neardup")], "n long")
+    df = docs.select("text").union(docs.filter("doc_id % 9 = 0 AND lang = 'en'").select(F.concat(X.upper_each(F.col("text")), F.lit(" !"))))
+    return by_column(spark, [(x.evidence["count"],) for x in found(df, "neardup")] or [(0,)], "n long")
 
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY {_NEAR} ORDER BY doc_id) AS rn FROM {_LOUD}) WHERE rn = 1")

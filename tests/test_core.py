@@ -41,7 +41,7 @@ def test_same_rows_as_sql(spark, name):
     assert rows == sorted(repr([dict(zip(want.columns, r))[c] for c in order]) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["drop_near_dup"])
+@pytest.mark.parametrize("name", ["near_dup", "drop_near_dup"])
 def test_near_copies_as_in_sql(spark, tmp_path, name):
     """Letters that the engines' full mappings of case or classes of letters take otherwise."""
     odd = [chr(c) for c in range(0x80, 0x11000) if not 0xD800 <= c < 0xE000 and (chr(c).isalnum() or chr(c).upper() != chr(c))]
