@@ -4,7 +4,8 @@ A passage is any run of `window` bytes. Texts are cut into shards by content: ea
 depends on the window alone, so equal windows have equal anchors, and a maximal run of windows with one anchor is a piece. A
 first pass finds the anchors that two documents have; pieces with other anchors can't hold a repeated window. Of the rest,
 equal pieces meet once (the one of the smallest document stands for all; the others are repeated as a whole), and pieces go to
-shards by anchor. A shard's pieces are joined and their suffixes sorted (suffixes.Sorter); windows that share `window` bytes
+shards by anchor. Of a shard, pieces that agree with no other beside their anchor can't share a window with one and are left out;
+the others are joined and their suffixes sorted (suffixes.Sorter); windows that share `window` bytes
 are neighbours in that order, and each group's smallest document keeps its bytes.
 
 Everything that moves is a few blocks of numbers or compressed text for each task. Texts are read three times and moved twice.
@@ -32,6 +33,17 @@ HELD_BYTES = 32 << 20
 SHARD_BYTES = 2 << 20  # of pieces that are sorted together; numpy needs some 60 bytes for each
 
 
+def _gram_hashes(text: np.ndarray) -> np.ndarray:
+    """Of the GRAM bytes from each position on."""
+    h = text.astype(np.uint64) + np.uint64(1)
+    width, factor = 1, 0x9E3779B97F4A7C15
+    while width < GRAM:  # hash of 2, 4, 8, 16 bytes from both halves
+        h = h[:-width] * np.uint64(factor) + h[width:]
+        factor = factor * factor % (1 << 64) | 1
+        width *= 2
+    return fmix(h)
+
+
 def anchored(raws: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pieces of some texts: anchor, number of the text, first byte in it, windows; and the joined bytes with each text's start."""
     text = np.frombuffer(b"".join(raws), np.uint8)
@@ -41,13 +53,7 @@ def anchored(raws: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np
     empty = np.zeros(0, np.int64)
     if n <= 0:
         return empty.astype(np.uint64), empty, empty, empty, text
-    h = text.astype(np.uint64) + np.uint64(1)
-    width, factor = 1, 0x9E3779B97F4A7C15
-    while width < GRAM:  # hash of 2, 4, 8, 16 bytes from both halves
-        h = h[:-width] * np.uint64(factor) + h[width:]
-        factor = factor * factor % (1 << 64) | 1
-        width *= 2
-    h = fmix(h)
+    h = _gram_hashes(text)
     span, reach = window - GRAM + 1, 1
     while 2 * reach <= span:
         h = np.minimum(h[:-reach], h[reach:])
@@ -281,12 +287,9 @@ def _repeated(batches: Iterator[pa.RecordBatch], window: int, homes: np.ndarray)
         _, place, count = np.unique(anchors, return_inverse=True, return_counts=True)
         use = np.flatnonzero(count[place] > 1)
         use = use[np.argsort(anchors[use], kind="stable")]
-        sizes = np.fromiter((len(texts[k]) + 1 for k in use), np.int64, len(use))
-        part = (np.cumsum(sizes) - sizes) // SHARD_BYTES
-        if len(use):  # an anchor's pieces stay together
-            head = np.concatenate(([True], anchors[use][1:] != anchors[use][:-1]))
-            part = part[head][np.cumsum(head) - 1]
-        for _, a, b in _cuts(part):
+        some = [_may_share([texts[k] for k in use[a:b]], anchors[use[a:b]], owner[use[a:b]], window) for a, b in _parts(use, texts, anchors)]
+        use = use[np.concatenate(some)] if some else use
+        for a, b in _parts(use, texts, anchors):
             for k, first, size in _earlier_windows([texts[x] for x in use[a:b]], owner[use[a:b]], window):
                 piece = use[a + k]
                 lost += [(doc, tie, at + first, size) for doc, tie, at in held[texts[piece]] if doc == owner[piece]]
@@ -297,6 +300,46 @@ def _repeated(batches: Iterator[pa.RecordBatch], window: int, homes: np.ndarray)
         yield _batch(_lost_rows(lost, homes))
 
 
+def _parts(use: np.ndarray, texts: list[bytes], anchors: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of `use` (pieces by anchor) of some SHARD_BYTES; an anchor's pieces stay together."""
+    if not len(use):
+        return []
+    sizes = np.fromiter((len(texts[k]) + 1 for k in use), np.int64, len(use))
+    part = (np.cumsum(sizes) - sizes) // SHARD_BYTES
+    head = np.concatenate(([True], anchors[use][1:] != anchors[use][:-1]))
+    return [(a, b) for _, a, b in _cuts(part[head][np.cumsum(head) - 1])]
+
+
+def _may_share(pieces: list[bytes], anchors: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray:
+    """Which pieces can share a window with one of another document: all that do, and few more.
+
+    A shared window has the anchor's bytes at one place in both pieces, and at least half of its other bytes on one side of them: so the
+    pieces agree in that many bytes before or after some occurrence of the anchor. Equal hashes of these bytes are taken for agreement."""
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    starts = np.cumsum(sizes) - sizes
+    h = _gram_hashes(np.frombuffer(b"".join(pieces), np.uint8))
+    piece = np.repeat(np.arange(len(pieces)), sizes)[: len(h)]
+    at = np.flatnonzero(h == anchors[piece])
+    room = (starts + sizes)[piece[at]] - at
+    at, room = at[room >= GRAM], room[room >= GRAM]
+    side = (window - GRAM + 1) // 2
+    out = np.zeros(len(pieces), bool)
+    for far, near, ok in ((-side, -GRAM, at - side >= starts[piece[at]]), (side, GRAM, room >= GRAM + side)):
+        where = at[ok]
+        who = piece[where]
+        key = fmix(h[where + far] + anchors[who])
+        if side > GRAM:
+            key = fmix(key ^ h[where + near])
+        order = np.argsort(key, kind="stable")
+        key, who = key[order], who[order]
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
+        if len(start):
+            docs = owner[who]
+            mixed = np.minimum.reduceat(docs, start) != np.maximum.reduceat(docs, start)
+            out[who[np.repeat(mixed, np.diff(np.append(start, len(key))))]] = True
+    return out
+
+
 def _earlier_windows(pieces: list[bytes], owner: np.ndarray, window: int, sorter: Callable[[], Sorter] | None = None) -> list[tuple[int, int, int]]:
     """(piece, first byte, bytes) of the runs of windows that a piece of a smaller document has, by suffix order."""
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))

@@ -79,6 +79,30 @@ def test_op1(spark, docs, odd):
     assert dedup.suffix_dedup(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("window", [32, 40, 50, 101])
+def test_op1_sorts_pieces_that_may_share(window):
+    """All pieces that share a window with one of another document are sorted, and of those that share an anchor alone none is."""
+    rng = np.random.default_rng(window)
+    part = [rng.integers(97, 101, 60).astype(np.uint8).tobytes() for _ in range(8)]
+    raws = [b"".join(part[k] for k in rng.integers(0, 8, 5))[int(rng.integers(0, 60)) :] + rng.integers(97, 99, 40).astype(np.uint8).tobytes() for _ in range(60)]
+    raws += [b"ab" * 90, b"x" + b"ab" * 80, b"z" * 200, b"z" * 300, b""]
+    anchors, owner, first, windows, _ = dedup.anchored(raws, window)
+    texts = [raws[d][f : f + n + window - 1] for d, f, n in zip(owner.tolist(), first.tolist(), windows.tolist(), strict=True)]
+    order = np.argsort(anchors, kind="stable")
+    docs = {}
+    for k in order.tolist():
+        for x in range(len(texts[k]) - window + 1):
+            docs.setdefault((anchors[k], texts[k][x : x + window]), set()).add(int(owner[k]))
+    want = [any(len(docs[anchors[k], texts[k][x : x + window]]) > 1 for x in range(len(texts[k]) - window + 1)) for k in order.tolist()]
+    got = dedup._may_share([texts[k] for k in order], anchors[order], owner[order], window)
+    assert any(want) and all(g for g, w in zip(got.tolist(), want, strict=True) if w)
+    gram = b"the same sixteen"
+    alone = [rng.integers(97, 123, 2 * window).astype(np.uint8).tobytes() for _ in range(20)]
+    alone = [x[:window] + gram + x[window:] for x in alone]
+    anchor = dedup._gram_hashes(np.frombuffer(gram, np.uint8))
+    assert not dedup._may_share(alone, np.repeat(anchor, 20), np.arange(20), window).any()
+
+
 def test_range_coder():
     rng = np.random.default_rng(1)
     blocks = [rng.integers(0, 49408, 300), np.zeros(0, int), np.full(400, 49407), np.arange(400) % 5, rng.integers(0, 3, 399)]
