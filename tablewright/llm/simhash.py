@@ -9,8 +9,9 @@ the full distance.
 Equal fingerprints meet once. Where many fingerprints share a key, links are followed breadth first: each that is reached
 leaves the ones to be compared, and only the links of the search tree go on, never all pairs.
 
-The first document of each group of near copies is not found by fingerprints but by the shingles themselves (see
-first_of_each), because a similarity of 0.8 is too far for 64 bits.
+For the first document of each group of near copies (see first_of_each) the same fingerprints and keys give the first
+candidates, which whole sets of shingles confirm. A similarity of 0.8 can be too far for 64 bits, so sets that these links
+leave apart are then held against each other by their leading shingles.
 """
 
 from __future__ import annotations
@@ -279,20 +280,21 @@ def common_shingles(texts: DataFrame, width: int, sample: int = 16000, least: in
 
 
 def leading(texts: DataFrame, width: int, overlap: Overlap, common: np.ndarray) -> DataFrame:
-    """Rows (id_, tie_, fp, n, lead) of rows (id_, tie_, text_): a hash of the text's set of shingles, how many there are, and the
-    first of them that a similar set must meet, in the order of their upper 63 bits, but common ones last (with the highest bit set)."""
+    """Rows (id_, tie_, fp, n, sim, lead) of rows (id_, tie_, text_): a hash of the text's set of shingles, how many there are, the SimHash,
+    and the first of them that a similar set must meet, in the order of their upper 63 bits, but common ones last (with the highest bit set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
-            sets = [np.unique(shingle_hashes(x, width)) for x in raw_texts(batch.column(2))]
-            lead = []
+            hashes = [shingle_hashes(x, width) for x in raw_texts(batch.column(2))]
+            sim = np.array([simhash(x) for x in hashes], np.uint64).view(np.int64)
+            sets, lead = [np.unique(x) for x in hashes], []
             for x in sets:
                 last = common[np.minimum(np.searchsorted(common, x), len(common) - 1)] == x if len(common) else np.zeros(len(x), bool)
                 lead.append(np.sort(x >> np.uint64(1) | last.astype(np.uint64) << np.uint64(63))[: overlap.lead(len(x))].tobytes())
             fp = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp), pa.array([len(x) for x in sets], pa.int32()), pa.array(lead, pa.binary())], ["id_", "tie_", "fp", "n", "lead"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp), pa.array([len(x) for x in sets], pa.int32()), pa.array(sim), pa.array(lead, pa.binary())], ["id_", "tie_", "fp", "n", "sim", "lead"])
 
-    return texts.mapInArrow(run, "id_ long, tie_ long, fp long, n int, lead binary")
+    return texts.mapInArrow(run, "id_ long, tie_ long, fp long, n int, sim long, lead binary")
 
 
 def _buckets(batches: Iterator[pa.RecordBatch], least: int = 2) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
@@ -372,18 +374,37 @@ def _possible(rows: list[np.ndarray], at: np.ndarray, to: np.ndarray, overlap: O
     return fp[at[ok]], fp[to[ok]]
 
 
+def ring_pairs(rep: DataFrame, ring: Ring, blocks: int) -> DataFrame:
+    """Of rows (fp, n, sim), rows of _MET with pairs of sets: of each SimHash the least set with each other one, and the least sets of
+    SimHashes that links() joins. They connect all sets whose SimHashes differ in ring.distance bits or fewer."""
+    some = rep.filter("n > 0").select("fp", "sim")
+    least = written(some.groupBy("sim").agg(F.min("fp").alias("least")))
+    near = links(least.select(F.col("sim").alias("fp")), ring).distinct()
+    near = near.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b").select("x", "y")
+    equal = some.join(least, "sim").filter("fp <> least").select("least", "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Candidates(blocks)
+        for batch in batches:
+            found.add(*(batch.column(k).to_numpy() for k in range(2)))
+            yield from found.rows(1 << 18)
+        yield from found.rows()
+
+    return near.union(equal).mapInArrow(run, _MET)
+
+
 def meetings(rep: DataFrame, overlap: Overlap, blocks: int) -> DataFrame:
-    """Of rows (fp, n, lead), rows of _MET. Block 0 or more: pairs of sets that can be similar (smaller and larger fp, 64 bits each): of
-    each leading shingle that sets share, the first of them with each other one. Block -1: a set in such pairs. Block -2: a
-    set (key, fp, n, pos) of those that share a shingle, three or more, whose other pairs are left to crossings()."""
+    """Of rows (fp, n, lead, root), rows of _MET. Block 0 or more: pairs of sets of different roots that can be similar (smaller and larger
+    fp, 64 bits each): of each leading shingle that sets share, the first of them with each other one. Block -1: a set in such pairs.
+    Block -2: a set (key, fp, n, pos) of those that share a shingle, three or more, whose other pairs are left to crossings()."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(iter([batch]), 2, 1 << 20):
                 lead = [np.frombuffer(x, np.int64) for x in part.column(2).to_pylist()]
                 counts = np.array([len(x) for x in lead])
-                columns = [np.concatenate(lead), *(np.repeat(part.column(k).to_numpy(), counts) for k in (0, 1)), np.concatenate([np.arange(c, dtype=np.int32) for c in counts])]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "fp", "n", "pos"])
+                columns = [np.concatenate(lead), *(np.repeat(part.column(k).to_numpy(), counts) for k in (0, 1)), np.concatenate([np.arange(c, dtype=np.int32) for c in counts]), np.repeat(part.column(3).to_numpy(), counts)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "fp", "n", "pos", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _Candidates(blocks)
@@ -391,15 +412,15 @@ def meetings(rep: DataFrame, overlap: Overlap, blocks: int) -> DataFrame:
             size = ends - starts
             to = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
             first = np.repeat(starts, size)
-            other = to != first
+            other = rows[4][to] != rows[4][first]
             found.add(*_possible(rows, first[other], to[other], overlap))
             some = to[np.repeat(size, size) > 2]
-            key, fp, n, pos = (pa.array(x[some]) for x in rows)
+            key, fp, n, pos = (pa.array(x[some]) for x in rows[:4])
             yield _met(block=pa.array(np.full(len(some), -2, np.int32)), key=key, fp=fp, n=n, pos=pos)
             yield from found.rows(1 << 18)
         yield from found.rows()
 
-    keys = rep.select("fp", "n", "lead").filter("n > 0").mapInArrow(spread, "key long, fp long, n int, pos int")
+    keys = rep.select("fp", "n", "lead", "root").filter("n > 0").mapInArrow(spread, "key long, fp long, n int, pos int, root long")
     return keys.repartition(partitions(rep.sparkSession), "key").sortWithinPartitions("key", "fp").mapInArrow(run, _MET)
 
 
@@ -514,12 +535,13 @@ def _rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
 BLOCK_BYTES = 32 << 20
 
 
-def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, ring: Ring = Ring()) -> DataFrame:
     """The rows of df, all columns, that are the first of their group of near copies: the one of the smallest id (null last, rows
     of one id by a hash of the text).
 
     Two texts are linked if the Jaccard similarity of their whole sets of shingles is `similarity` or more; groups are what links
-    connect. No link is missed: sets so similar share one of their leading shingles, in any order that is the same for all sets,
+    connect. Texts whose SimHashes the ring finds near come first: their whole sets are compared, and what is similar is one group.
+    No link is missed: sets so similar share one of their leading shingles, in any order that is the same for all sets,
     and each pair that does and isn't yet connected is compared, set by set: first one of those that share a shingle with each
     other one, then all whose groups still differ. Equal sets are one group, and wordless texts. An empty table gives an empty one.
     """
@@ -527,7 +549,7 @@ def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = df.select(*key, F.col(text_col).cast("string").alias("text_"))
     overlap = Overlap(round(1000 * similarity))
     prints = written(leading(texts, width, overlap, common_shingles(texts, width)))
-    rep = written(prints.groupBy("fp").agg(F.min(F.struct("id_", "tie_", "n", "lead")).alias("m")).select("fp", "m.*"))
+    rep = written(prints.groupBy("fp").agg(F.min(F.struct("id_", "tie_", "n", "sim", "lead")).alias("m")).select("fp", "m.*"))
     blocks = 1 + 8 * (rep.agg(F.sum("n")).collect()[0][0] or 0) // BLOCK_BYTES
 
     def after_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -549,17 +571,21 @@ def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sets = written(texts.join(few(wanted), ["id_", "tie_"]).dropDuplicates(["id_", "tie_"]).select("fp", "text_").mapInArrow(whole, "fp long, whole binary"))
         return compared(still, sets, overlap)
 
-    met = written(meetings(rep, overlap, blocks))
-    near = links_of(met)
+    def with_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        return rows.join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+    near = links_of(written(ring_pairs(rep, ring, blocks)))
+    met = written(meetings(with_root(rep.select("fp", "n", "lead"), components(near)), overlap, blocks))
+    near = near.union(links_of(met))
     roots = components(near)
     members = met.filter("block = -2").select("key", "fp", "n", "pos")
-    rooted = members.join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").select("key", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
+    rooted = with_root(members, roots).select("key", "fp", "n", "pos", "root")
     crossed = written(crossings(rooted, overlap, blocks))
     if not crossed.isEmpty():
         more = links_of(crossed)
         if not more.isEmpty():
             roots = components(near.union(more))
-    rooted = rep.select("fp", "id_", "tie_").join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = with_root(rep.select("fp", "id_", "tie_"), roots)
     firsts = rooted.groupBy("root").agg(F.min(F.struct("id_", "tie_")).alias("first_"))
     every = prints.select("id_", "tie_", "fp").join(rooted.select("fp", "root"), "fp").join(firsts, "root")
     gone = written(every.filter(F.struct("id_", "tie_") != F.col("first_")).select("id_", "tie_").distinct())

@@ -340,6 +340,38 @@ def test_first_of_each_in_large_buckets(spark):
     assert first_ids(spark, texts) == want
 
 
+def test_first_of_each_takes_ring_pairs_first(spark, monkeypatch):
+    """What the ring connects comes from SimHashes, is told to the later steps, and what it leaves apart is still found."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for n in [0, 1, 1, 2, 8, 9] * 8:
+        one = [f"w{x}" for x in rng.integers(0, 1 << 40, 400)]
+        texts += [" ".join(one), " ".join(edited_words(rng, one, n) + ["w"] * (n == 0))]
+    prints = [simhash.simhash(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    sets = [np.unique(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    name = [int(np.array([xxhash.xxh64_intdigest(x.tobytes())], np.uint64).view(np.int64)[0]) for x in sets]
+    near = {tuple(sorted((name[a], name[b]))) for a, b in itertools.combinations(range(len(texts)), 2) if (int(prints[a]) ^ int(prints[b])).bit_count() <= 4}
+    seen, roots = [], []
+    pairs, meet = simhash.ring_pairs, simhash.meetings
+
+    def spy_pairs(*a):
+        out = pairs(*a)
+        seen.extend(tuple(x) for r in out.filter("data IS NOT NULL").collect() for x in np.frombuffer(r["data"], np.int64).reshape(-1, 2).tolist())
+        return out
+
+    def spy_meet(rep, *a):
+        roots.extend((r["fp"], r["root"]) for r in rep.select("fp", "root").collect())
+        return meet(rep, *a)
+
+    monkeypatch.setattr(simhash, "ring_pairs", spy_pairs)
+    monkeypatch.setattr(simhash, "meetings", spy_meet)
+    want, _ = brute_first(texts)
+    assert first_ids(spark, texts) == want and len(want) < 0.6 * len(texts)
+    assert near and set(seen) == near
+    root = dict(roots)
+    assert all(root[a] == root[b] for a, b in near) and len(set(root.values())) > len(want)
+
+
 def test_first_of_each_misses_none(spark):
     rng = np.random.default_rng(9)
     texts = []
